@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.sstable import op1_sstable
 
-QUERIES = {"op1_sstable": op1_sstable}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_sstable": op1_sstable, "op10_minhash": op10_minhash}
+ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL}
