@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from tessella.llm.mixing import OP6_SQL, op6_mixing
 from tessella.llm.neardup import OP10_SQL, op10_minhash
+from tessella.llm.packing import op8_packing
 from tessella.llm.sstable import op1_sstable
 
-QUERIES = {"op1_sstable": op1_sstable, "op10_minhash": op10_minhash}
-ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL}
+QUERIES = {
+    "op1_sstable": op1_sstable,
+    "op6_mixing": op6_mixing,
+    "op8_packing": op8_packing,
+    "op10_minhash": op10_minhash,
+}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
