@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tessella.llm.langid import op5_language
 from tessella.llm.mixing import OP6_SQL, op6_mixing
 from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
+from tessella.llm.perplexity import op4_quality
 from tessella.llm.sstable import op1_sstable
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
     "op10_minhash": op10_minhash,
