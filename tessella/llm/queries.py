@@ -8,6 +8,7 @@ from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
 from tessella.llm.perplexity import op4_quality
 from tessella.llm.sstable import op1_sstable
+from tessella.llm.winnowing import op9_winnowing
 
 QUERIES = {
     "op1_sstable": op1_sstable,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
+    "op9_winnowing": op9_winnowing,
     "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
