@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.llm.langid import op5_language
+from tessella.llm.licenses import op3_licenses
 from tessella.llm.mixing import OP6_SQL, op6_mixing
 from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
@@ -12,6 +13,7 @@ from tessella.llm.winnowing import op9_winnowing
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
