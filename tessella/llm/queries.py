@@ -9,10 +9,12 @@ from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
 from tessella.llm.perplexity import op4_quality
 from tessella.llm.sstable import op1_sstable
+from tessella.llm.warc import OP2_SQL, op2_warc
 from tessella.llm.winnowing import op9_winnowing
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op2_warc": op2_warc,
     "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_minhash": op10_minhash,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
