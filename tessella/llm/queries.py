@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.chat import OP7_SQL, op7_chat
 from tessella.llm.langid import op5_language
 from tessella.llm.licenses import op3_licenses
 from tessella.llm.mixing import OP6_SQL, op6_mixing
@@ -19,8 +20,14 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_chat": op7_chat,
     "op8_packing": op8_packing,
     "op9_winnowing": op9_winnowing,
     "op10_minhash": op10_minhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+    "op6_mixing": OP6_SQL,
+    "op7_chat": OP7_SQL,
+    "op10_minhash": OP10_SQL,
+}
