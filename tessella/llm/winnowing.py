@@ -125,14 +125,14 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     )
     prev = scratch.write(followers(keys.drop("rows"), scratch), "prev")
     own = winnow(base, "text", "grams").select(
-        "doc_id", "k", "text", digest(F.col("grams")).alias("fingerprint"), hashes(F.col("grams")).alias("hashes")
-    )
+        "doc_id", "k", "text", "grams"
+    )  # both joins read just these columns, so that they share one shuffle of the texts
     p = prev.toDF("f_id", "f_k", "prev_id", "prev_k", "prev_n")
     nexts = own.join(p, own["doc_id"].eqNullSafe(p["f_id"]) & (own["k"] == p["f_k"])).select(
         "prev_id",
         "prev_k",
         F.col("text").substr(F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("head"),
-        F.col("hashes").alias("next_hashes"),
+        F.col("grams").alias("next_grams"),
     )
     if keys.where("rows > 1").limit(1).count():
         nexts = nexts.dropDuplicates(["prev_id", "prev_k"])
@@ -141,18 +141,19 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         "doc_id",
         n.alias("n_chars"),
         F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("head")).alias("edited"),
-        "fingerprint",
-        "hashes",
-        "next_hashes",
+        "grams",
+        "next_grams",
+    )
+    both = winnow(both, "edited", "edited_grams").withColumns(
+        {"hashes": hashes(F.col("grams")), "edited_hashes": hashes(F.col("edited_grams")), "next_hashes": hashes(F.col("next_grams"))}
     )
-    both = winnow(both, "edited", "edited_grams").withColumn("edited_hashes", hashes(F.col("edited_grams")))
     a, b, c = F.col("hashes"), F.col("edited_hashes"), F.col("next_hashes")
     both = both.withColumns({"_edited": F.size(F.array_intersect(a, b)), "_next": F.size(F.array_intersect(a, c))})
     return both.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
+        digest(F.col("grams")).alias("fingerprint"),
         digest(F.col("edited_grams")).alias("edited_fingerprint"),
         likeness(a, b, F.col("_edited")).alias("near_edited"),
         likeness(a, c, F.col("_next")).alias("near_next"),
