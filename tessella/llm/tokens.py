@@ -15,6 +15,7 @@ library once per worker and cache life instead of once per occurrence.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -35,10 +36,13 @@ WORD_LATIN_PIECES = re.compile(f"[{LATIN}]+|[^{SPACE}{LATIN}]+")
 #: What keeps a text from being cut by plain replacement: a full stop or comma that isn't between a
 #: letter or digit and a letter, digit, blank or end; a run of blanks; the mark that we cut at.
 MARK = "\x00"
-NOT_PLAIN_STOPS = re.compile(f"(?<![{LATIN}0-9])[.,]|[.,](?![{LATIN}0-9 \n]|\\Z)")
-NOT_PLAIN_BLANKS = re.compile("[ \n]{2}|[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
+NOT_PLAIN_STOPS = re.compile(f"[.,](?:(?<=[^{LATIN}0-9][.,])|(?![{LATIN}0-9 \\n]|\\Z))")
+NOT_PLAIN_BLANKS = ("  ", " \n", "\n ", "\n\n", *"\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
+#: Pieces that are one pre-token and stay so when they are put one after another.
+ONE_BYTE_TOKEN = re.compile(f" [{LATIN}]+\\Z")
+ONE_WORD_TOKEN = re.compile(f"[{LATIN}]+\\Z")
 #: Texts are encoded in groups of about so many characters, each with one call for what is new.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 def _plain(text: str) -> bool:
@@ -53,6 +57,10 @@ def _plain(text: str) -> bool:
     return True
 
 
+def _odd_stops(text: str) -> bool:
+    return text[:1] in (".", ",") or NOT_PLAIN_STOPS.search(text) is not None
+
+
 class _Known(dict):
     """Piece -> ids; a piece that isn't known yet gives None and is noted in `new`."""
 
@@ -67,7 +75,7 @@ class _Known(dict):
 class CachedEncoder:
     """Token ids as little-endian bytes, `width` bytes each (2 where the vocabulary fits)."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,6 +91,26 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the pieces' ids into the cache. Words go through the library as one text, by which a
+        piece costs half as much; which ids are whose is told by the library's word numbers."""
+        one, mark = (ONE_WORD_TOKEN, " ") if self.drops_space else (ONE_BYTE_TOKEN, "")
+        words = [p for p in pieces if one.match(p)]
+        rest = [p for p in pieces if not one.match(p)]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            enc = self.tokenizer.encode(mark.join(part), add_special_tokens=False)
+            number = np.array(enc.word_ids)
+            if number[-1] != len(part) - 1:
+                rest += part
+                continue
+            ends = (np.searchsorted(number, np.arange(len(part) + 1)) * self.width).tolist()
+            ids = np.array(enc.ids, self.dtype).tobytes()
+            self.cache.update(zip(part, (ids[a:b] for a, b in itertools.pairwise(ends)), strict=True))
+        for at in range(0, len(rest), 50_000):
+            part = rest[at : at + 50_000]
+            self.cache.update(zip(part, self._ids(part), strict=True))
+
     def _pieces(self, text: str) -> list[str]:
         plain = _plain(text)
         if self.drops_space:
@@ -90,11 +118,11 @@ class CachedEncoder:
                 return WORD_PIECES.findall(text)
             # lower case as the tokenizer does it (character by character), for fewer pieces
             text = text.lower()
-            if NOT_PLAIN_STOPS.search(text) or ONLY_SPLIT.search(text):
+            if _odd_stops(text) or ONLY_SPLIT.search(text):
                 return WORD_LATIN_PIECES.findall(text)
             return text.replace(".", " . ").replace(",", " , ").split()
         if plain:
-            if NOT_PLAIN_BLANKS.search(text) or NOT_PLAIN_STOPS.search(text):
+            if any(x in text for x in NOT_PLAIN_BLANKS) or _odd_stops(text):
                 return BYTE_LATIN_PIECES.findall(text)
             for old, new in ((" ", "\0 "), (".", "\0."), (",", "\0,"), ("\n", "\0\n\0")):
                 text = text.replace(old, new)
@@ -113,9 +141,7 @@ class CachedEncoder:
                 self.cache.clear()
                 self.cache[""] = b""
                 missing = list(set().union(*pieces))
-            for at in range(0, len(missing), 50_000):
-                part = missing[at : at + 50_000]
-                self.cache.update(zip(part, self._ids(part), strict=True))
+            self._learn(missing)
             ids = [x if None not in x else list(map(look, p)) for x, p in zip(ids, pieces, strict=True)]
         return [b"".join(x) for x in ids]
 
