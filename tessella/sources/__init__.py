@@ -1 +1 @@
-
+"""Readers of files and lists of queries."""

@@ -1 +1 @@
-
+"""Folds over unbounded events."""
