@@ -178,6 +178,5 @@ def keyword_terms(c: Column) -> Column:
     found = F.concat(
         F.regexp_extract_all(t, F.lit("([a-z][a-z0-9_-]{2,})"), 1), F.regexp_extract_all(t, F.lit("([一-鿿]{2,})"), 1)
     )
-    terms = F.transform(found, lambda x: F.regexp_replace(x, "^[_-]+|[_-]+$", ""))
-    stops = F.array(*[F.lit(x) for x in STOP_TERMS])
-    return F.filter(terms, lambda x: (F.length(x) >= 2) & ~F.array_contains(stops, x))
+    terms = F.transform(found, lambda x: F.btrim(x, F.lit("_-")))
+    return F.filter(terms, lambda x: (F.length(x) >= 2) & ~x.isin(STOP_TERMS))
