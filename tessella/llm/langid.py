@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm.common import table
-from tessella.session import ship_package
+from tessella.llm.common import prepare, table
 
 BUCKETS = 1 << 13
 #: Longest code word drawn at random, for more languages than an exhaustive code serves.
@@ -68,7 +67,7 @@ def codewords(k: int, seed: int = 1) -> np.ndarray:
 
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, bucket, n) over all rows of docs (text, lang); rows without either are left out."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches):
         # dense arrays per language and partition, so each sends a bounded number of rows
@@ -145,7 +144,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ambiguous. Repeated rows are answered alike; an empty table stays empty; columns of docs with
     the three added names are replaced.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
 

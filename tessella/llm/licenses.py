@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
-from tessella.session import ship_package
+from tessella.llm.common import prepare, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -133,7 +132,7 @@ def vocabulary() -> list[bytes]:
 
 def fit(docs: DataFrame) -> Index:
     """Document frequencies of the templates' words over all documents; a row per such word comes back."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     vocab = vocabulary()
 
     def count(batches):
@@ -166,7 +165,7 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
     Null and empty texts have no words and no labels; repeated rows are answered alike.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(index)
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
     match = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("word", pa.int64()), ("share", pa.float64())]))

@@ -22,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, join_checked, table
+from tessella.llm.common import Scratch, join_checked, prepare, table
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 #: Rows of a side that is broadcast: two longs each, so at most some 16 MB.
 BROADCAST_ROWS = 500_000
 #: Shingles of a block in the exact comparison (8 bytes each).
-BLOCK_SHINGLES = 1_000_000
-WORD_CACHE = 500_000
+BLOCK_SHINGLES = 500_000
+WORD_CACHE = 150_000
 
 
 class _WordHash(dict):
@@ -117,6 +117,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int, seed: int = 1) ->
                 ],
                 names=["doc_id", "n", "d1", "d2", "bands"],
             )
+        _word_hash.clear()  # the worker lives on, and its memory serves what comes next
 
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
 
@@ -275,8 +276,8 @@ def near_duplicates(
     repeat a doc_id count as one document: they share a component, and are kept alike. A null
     doc_id is linked with nothing and kept. Columns besides the two are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    prepare(docs.sparkSession)
     bands = band_count(rows, num / den)
     sig = scratch.write(signatures(docs, k, rows, bands, seed), "sig")
     classes = scratch.write(

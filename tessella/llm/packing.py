@@ -13,9 +13,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import table
+from tessella.llm.common import prepare, table
 from tessella.llm.tokens import encoder, le32
-from tessella.session import ship_package
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, width int, ids binary"
@@ -45,7 +44,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, longest: int = 102
     """
     if longest & longest - 1 or longest < 1:
         raise ValueError("the longest sequence must be a power of two")
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def cut(batches):
         from pyspark import TaskContext
@@ -64,7 +63,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, longest: int = 102
                     used[bucket] += 1
                     rows.append((doc_id, at, n, total, bucket, number, 0, enc.width, ids[at * enc.width : (at + n) * enc.width]))
                     at += n
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield _rows(rows)
                     rows = []
             if rows:
