@@ -50,15 +50,16 @@ def with_links(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[D
             break
         links.append(now.where("up is not null").select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        joined = now.join(above, ["tree", "up"], "left")
-        moved = F.col("up").isNotNull()
-        nxt = joined.select(
+        # only those that haven't come to a root are joined on; they become fewer each time
+        joined = now.where("up is not null").join(above, ["tree", "up"], "left")
+        moved = joined.select(
             "tree",
             "node",
             F.col("_up").alias("up"),
             (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.when(moved, F.lit(1 << i) + F.col("_steps")).otherwise(0)).cast("long").alias("steps"),
+            (F.col("steps") + F.lit(1 << i) + F.coalesce("_steps", F.lit(0))).cast("long").alias("steps"),
         )
+        nxt = moved.unionByName(now.where("up is null"))
         now = scratch.write(nxt, f"links{i + 1}")
         if i > 0 and now.where("up is not null").count() == links[-1].count():
             break  # only circles are left: nobody has come to a root in this round
