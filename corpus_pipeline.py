@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = F.xxhash64("doc_id", "lang", "text")
     rows = docs.select("doc_id", "text", "lang", key.alias("_key"))
     measured = scratch.write(
-        perplexity.measure(rows, perplexity.fit(docs)).select("_key", "lang", "base_failed", "log_perplexity"), "measured"
+        perplexity.measure(rows, perplexity.fit(docs)).select("_key", "lang", "base_failed", "log_perplexity", "word_surprise"), "measured"
     )
-    judged = perplexity.judge(measured, perplexity.bands(measured))
+    judged = perplexity.judge_both(measured)
     rejected = scratch.write(judged.where("not kept").select("_key").distinct(), "rejected")
     return join_checked(docs.withColumn("_key", key), rejected, "_key", "left_anti", LISTED).select(*docs.columns)
 

@@ -11,6 +11,9 @@ The model is stored as sorted hash arrays: for each order, the n-grams' hashes i
 with log probability and back-off weight beside them, found by binary search. A document is rejected
 when its perplexity is above the upper or below the lower band of its language; the bands lie around
 the median of the language's documents, at a multiple of their median absolute deviation.
+
+Characters don't see words, so a second model counts word n-grams (wordgrams.py); what is far above
+its language's median there is rejected too. Its lower side is open: copies are for another operator.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessella.llm import wordgrams
 from tessella.llm.common import Scratch, prepare, table
 
 ORDER, SYMBOLS = 4, 32
@@ -32,6 +36,8 @@ BLANK, DIGIT, OTHER = 0, 27, 28
 PIECE = 1 << 18
 #: Half width of a band: so many robust deviations of log perplexity, and at least LEAST_HALF.
 DEVIATIONS, LEAST_HALF = 8.0, 0.14
+#: The same for the surprise of words, upwards only.
+WORD_DEVIATIONS, LEAST_WORD_HALF = 4.0, 0.5
 SYMBOL_CHARS = b"#*$%&|<>"
 MIN_WORDS = 50
 
@@ -221,7 +227,7 @@ def structure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MEASURES = [*METRICS, "base_failed", "log_perplexity"]
+MEASURES = [*METRICS, "base_failed", "log_perplexity", "word_surprise"]
 
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,22 +238,21 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
     at = base.columns.index("text")
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
 
-    def run(batches):
+    def run(b):
         m = sent.value
-        for b in batches:
-            rows = []
-            for text in b.column(at).to_pylist():
-                s = structure(text)
-                rows.append((*s, s[0] < MIN_WORDS or 100 * s[4] > 50 * s[0], m.log_perplexity(text)))
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            rest = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *cols], names=[*(b.schema.names[i] for i in rest), *MEASURES])
+        rows = []
+        for text in b.column(at).to_pylist():
+            s = structure(text)
+            rows.append((*s, s[0] < MIN_WORDS or 100 * s[4] > 50 * s[0], m.log_perplexity(text)))
+        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        rest = [i for i in range(b.num_columns) if i != at]
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *cols], names=[*(b.schema.names[i] for i in rest), *MEASURES[:-1]])
 
     added = StructType()
     for c in METRICS:
         added.add(c, "long")
     added.add("base_failed", "boolean").add("log_perplexity", "double")
-    return base.mapInArrow(run, StructType(base.drop("text").schema.fields + added.fields))
+    return wordgrams.scored(base, run, StructType(base.drop("text").schema.fields + added.fields))
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -257,17 +262,23 @@ def bands(measured: DataFrame) -> DataFrame:
     exact to 0.0001: documents are counted by language and rounded value, which is few rows at any
     size, and unlike a sketch of quantiles the counts don't depend on the order of partitions.
     """
-    n = (
-        measured.where("not base_failed and log_perplexity is not null")
-        .groupBy("lang", F.round("log_perplexity", 4).alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
+    half = F.greatest(F.lit(DEVIATIONS) * (F.col("q2") - F.col("q0")) / 1.349, F.lit(LEAST_HALF))
+    return quartiles(measured, "log_perplexity").select("lang", (F.col("q1") - half).alias("lower"), (F.col("q1") + half).alias("upper"))
+
+
+def word_bands(measured: DataFrame) -> DataFrame:
+    """lang, most: the highest surprise of words, by the upper half's width, as near copies widen the lower one."""
+    half = F.greatest(F.lit(WORD_DEVIATIONS) * (F.col("q2") - F.col("q1")) / 0.6745, F.lit(LEAST_WORD_HALF))
+    return quartiles(measured, "word_surprise").select("lang", (F.col("q1") + half).alias("most"))
+
+
+def quartiles(measured: DataFrame, value: str) -> DataFrame:
+    n = measured.where(f"not base_failed and {value} is not null").groupBy("lang", F.round(value, 4).alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("lang")
     below = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = n.withColumns({"below": below, "total": F.sum("n").over(w)})
     q = [F.min(F.when(F.col("below") >= p * F.col("total"), F.col("v"))).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75))]
-    half = F.greatest(F.lit(DEVIATIONS) * (F.col("q2") - F.col("q0")) / 1.349, F.lit(LEAST_HALF))
-    return ranked.groupBy("lang").agg(*q).select("lang", (F.col("q1") - half).alias("lower"), (F.col("q1") + half).alias("upper"))
+    return ranked.groupBy("lang").agg(*q)
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -282,6 +293,13 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
+def judge_both(measured: DataFrame) -> DataFrame:
+    """judge by the bands of measured itself, and the surprise of words not above its language's band."""
+    lim = word_bands(measured).select(F.col("lang").alias("_lang"), "most")
+    judged = judge(measured, bands(measured)).join(lim, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return judged.withColumn("kept", F.col("kept") & F.coalesce(F.col("word_surprise") <= F.col("most"), F.lit(False))).drop("most")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, the measures, the language's band, kept.
 
@@ -290,11 +308,11 @@ def quality(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.write(measure(docs.select("doc_id", "text", "lang"), fit(docs)), "measured")
-    return judge(measured, bands(measured))
+    return judge_both(measured)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by their own language column."""
     return quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", *METRICS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity")
+        "doc_id", *METRICS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), F.round("word_surprise", 6).alias("word_surprise")
     )

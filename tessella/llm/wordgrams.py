@@ -1,0 +1,231 @@
+"""Word n-grams of the whole corpus up to order 3, and how unlikely a text's words are among the other documents.
+
+An n-gram's count is the number of documents that hold it. A text is scored by the documents other
+than itself, so it can't vouch for its own words: a word follows its context with the share
+(documents with both - 1) / (documents with the context - 1), from the longest context that another
+document has; each step to a shorter one costs the factor BACK_OFF.
+
+Nothing of the model is gathered. A task cuts its documents into blocks and sends each block's
+distinct n-grams as sorted hash arrays to shards by hash; a shard adds them up and sends to each
+block the counts of its own n-grams, so what a task holds is a block or a shard at any input size.
+A trigram is sent only if both of its bigrams are in two documents, as else it can't be in two itself.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessella.llm.common import atomic_output, new_folder, open_read, prepare
+
+#: Bits of an n-gram's hash: of 10**9 n-grams, one in 280,000 meets another.
+BITS = 48
+#: Words of a block, characters of the corpus per shard, and words whose hashes a task remembers.
+BLOCK, SHARD_CHARS, REMEMBERED = 1_000_000, 4_000_000, 500_000
+BACK_OFF, UNSEEN = 0.4, 0.5
+WORD = re.compile(r"\w+")
+
+
+def mixed(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(order))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def grouped(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes ascending, the place of each code in them, and their numbers of documents. Equal codes come by document."""
+    order = np.argsort(codes, kind="stable")
+    c, d = codes[order], doc[order]
+    new = np.ones(len(c), bool)
+    new[1:] = c[1:] != c[:-1]
+    at = np.cumsum(new) - 1
+    inverse = np.empty(len(c), np.int64)
+    inverse[order] = at
+    pair = new.copy()
+    pair[1:] |= d[1:] != d[:-1]
+    return c[new], inverse, np.bincount(at[pair], minlength=int(new.sum()))
+
+
+class Hashes(dict):
+    """Word to 64-bit hash."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+class Block:
+    """Documents in a row: the hashes of their n-grams by position, and which document each is of."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.n = np.array([len(w) for w in words], np.int64)
+        one = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        doc = np.repeat(np.arange(len(words)), self.n)
+        two_at = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # positions of a bigram's last word
+        two = mixed(one[two_at - 1], one[two_at], 2)
+        three = np.flatnonzero(two_at[1:] == two_at[:-1] + 1) + 1  # bigrams that end a trigram
+        self.doc, self.two_at, self.three = doc, two_at, three
+        cut = np.uint64(64 - BITS)
+        short = np.concatenate([mixed(one, one, 1), two]) >> cut
+        self.grams, self.inverse, self.df = grouped(short, np.concatenate([doc, doc[two_at]]))
+        self.trigrams = mixed(two[three - 1], one[two_at[three]], 3) >> cut
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words and bigrams, and the documents of the block that hold each."""
+        return self.grams, self.df
+
+    def counted(self, df: np.ndarray) -> None:
+        by_place = df[self.inverse]
+        self.df1, self.df2 = by_place[: len(self.doc)], by_place[len(self.doc) :]
+        known = (self.df2[self.three] > 1) & (self.df2[self.three - 1] > 1)
+        self.sent = np.flatnonzero(known)
+        doc = self.doc[self.two_at[self.three[self.sent]]]
+        self.sent_grams, self.sent_inverse, self.sent_df = grouped(self.trigrams[known], doc)
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.sent_grams, self.sent_df
+
+    def score(self, df3: np.ndarray, others: int) -> list[float | None]:
+        """Per document the mean of -log of the shares; None without words."""
+        share = BACK_OFF**2 * np.maximum(self.df1 - 1.0, UNSEEN) / max(1, others)
+        hit = self.df2 > 1
+        at = self.two_at[hit]
+        share[at] = BACK_OFF * (self.df2[hit] - 1.0) / (self.df1[at - 1] - 1.0)
+        df3 = df3[self.sent_inverse]
+        hit = df3 > 1
+        pair = self.three[self.sent[hit]]
+        share[self.two_at[pair]] = (df3[hit] - 1.0) / (self.df2[pair - 1] - 1.0)
+        total = np.bincount(self.doc, -np.log(share), len(self.n))
+        return [float(t / n) if n else None for t, n in zip(total, self.n, strict=True)]
+
+
+def pack(sorted_codes: np.ndarray) -> bytes:
+    """Differences, byte plane by byte plane: high bytes are mostly 0."""
+    d = np.diff(sorted_codes, prepend=np.uint64(0)).astype("<u8")
+    return _squeeze(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+
+
+def blocks(batches, at: int, rest_of=None):
+    """(name, Block, what rest_of makes of the batches): a partition's documents in order, cut after BLOCK words."""
+    known, words, rest, n, i = Hashes(), [], [], 0, 0
+    part = TaskContext.get().partitionId()
+    for b in batches:
+        begin = 0
+        others = rest_of(b) if rest_of else b
+        for row, text in enumerate(b.column(at).to_pylist()):
+            found = WORD.findall((text or "").lower())
+            words.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+            n += len(found)
+            if n >= BLOCK:
+                yield f"{part}-{i}", Block(words), [*rest, others.slice(begin, row + 1 - begin)]
+                words, rest, n, i, begin = [], [], 0, i + 1, row + 1
+        if begin < b.num_rows:
+            rest.append(others.slice(begin))
+    if words:
+        yield f"{part}-{i}", Block(words), rest
+
+
+def answer(folder: str, name: str, grams: np.ndarray) -> np.ndarray:
+    """The counts of a block's n-grams, which must be those that were sent."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    with open_read(f"{folder}/{name}") as f:
+        check, data = f.read(8), f.read()
+    df = _counts(data)
+    if len(df) != len(grams) or int.from_bytes(check, "little") != len(grams):
+        raise RuntimeError(f"block {name} was read in another order than when it was counted")
+    return df
+
+
+def count(docs: DataFrame, shards: int, earlier: str | None) -> str:
+    """Folder with a file per block: in how many documents each of its n-grams is. earlier: that folder for words and bigrams."""
+    spark = docs.sparkSession
+    folder = new_folder(spark, "wordgrams")
+    shift = np.uint64(BITS - shards.bit_length() + 1)
+
+    def send(batches):
+        for name, block, _ in blocks(batches, 0):
+            if earlier is not None:
+                block.counted(answer(earlier, name, block.grams))
+            grams, df = block.first() if earlier is None else block.second()
+            ends = np.searchsorted(grams, np.arange(1, shards, dtype=np.uint64) << shift)
+            rows = [(s, g, d) for s, (g, d) in enumerate(zip(np.split(grams, ends), np.split(df, ends), strict=True)) if len(g)]
+            for k in range(0, len(rows), 256):
+                some = rows[k : k + 256]
+                cols = [
+                    pa.array([s for s, _, _ in some], pa.int32()), pa.array([name] * len(some)),
+                    pa.array([pack(g) for _, g, _ in some], pa.binary()), pa.array([_squeeze(d.astype("<u4").tobytes()) for _, _, d in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "block", "grams", "df"])
+
+    def add(t: pa.Table) -> pa.Table:
+        lists = [unpack(x) for x in t.column("grams").to_pylist()]
+        every, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        df = np.bincount(inverse, np.concatenate([_counts(x) for x in t.column("df").to_pylist()]), len(every)).astype("<u4")
+        own = np.split(df[inverse], np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "df": pa.array([_squeeze(x.tobytes()) for x in own], pa.binary())})
+
+    def keep(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shard")
+        df = np.concatenate([_counts(x) for x in t.column("df").to_pylist()]).astype("<u4")
+        name = t.column("block")[0].as_py()
+        with atomic_output(f"{folder}/{name}") as f:
+            f.write(len(df).to_bytes(8, "little") + _squeeze(df.tobytes()))
+        return pa.table({"n": pa.array([len(df)], pa.int64())})
+
+    sent = docs.select("text").mapInArrow(send, "shard int, block string, grams binary, df binary")
+    added = sent.groupBy("shard").applyInArrow(add, "block string, shard int, df binary")
+    added.groupBy("block").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def scored(docs: DataFrame, rest_of, schema: StructType) -> DataFrame:
+    """What rest_of makes of each Arrow batch of docs (columns of schema), and word_surprise.
+
+    docs is read three times and must come in the same partitions and order, which is checked.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = 1 << max(4, (int(chars) // SHARD_CHARS).bit_length())
+    first = count(docs, shards, None)
+    second = count(docs, shards, first)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for block_name, block, rest in blocks(batches, at, rest_of):
+            block.counted(answer(first, block_name, block.grams))
+            values = block.score(answer(second, block_name, block.sent_grams), n - 1)
+            begin = 0
+            for b in rest:
+                new = pa.array(values[begin : begin + b.num_rows], pa.float64())
+                begin += b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, "word_surprise"])
+
+    return docs.mapInArrow(run, StructType(list(schema.fields)).add("word_surprise", "double"))
+

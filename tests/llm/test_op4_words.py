@@ -1,0 +1,56 @@
+import math
+import random
+from collections import Counter
+
+from tessella.llm import perplexity as P
+from tessella.llm import wordgrams as W
+
+
+def brute(texts):
+    """Surprise of each text's words among the other texts, from the definition."""
+    words = [W.WORD.findall((t or "").lower()) for t in texts]
+    df = [None, *(Counter(g for w in words for g in {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) for k in (1, 2, 3))]
+    for w in words:
+        total = 0.0
+        for i in range(len(w)):
+            tri, two, one = tuple(w[max(0, i - 2) : i + 1]), tuple(w[max(0, i - 1) : i + 1]), (w[i],)
+            if len(tri) == 3 and df[3][tri] > 1:
+                p = (df[3][tri] - 1) / (df[2][tri[:2]] - 1)
+            elif len(two) == 2 and df[2][two] > 1:
+                p = W.BACK_OFF * (df[2][two] - 1) / (df[1][two[:1]] - 1)
+            else:
+                p = W.BACK_OFF**2 * max(df[1][one] - 1, W.UNSEEN) / (len(texts) - 1)
+            total -= math.log(p)
+        yield total / len(w) if w else None
+
+
+def corpus(rng):
+    words = ["".join(rng.choice("abdeilmnorst") for _ in range(rng.randint(5, 10))) for _ in range(100)]
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    texts = [". ".join(rng.sample(lines, 15)) for _ in range(200)]
+    salad = []
+    for t in texts[:20]:
+        w = t.split()
+        rng.shuffle(w)
+        salad.append(" ".join(w))
+    return texts, salad
+
+
+def test_word_salad_is_rejected(spark):
+    texts, salad = corpus(random.Random(5))
+    rows = [(i, t, "en") for i, t in enumerate(texts + salad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3, "doc_id").localCheckpoint()
+    measured = P.quality(docs).localCheckpoint()
+    characters = {r.doc_id: r.kept for r in P.judge(measured, P.bands(measured)).collect()}
+    assert all(characters.values())  # what the model of characters sees
+    kept = {r.doc_id: r.kept for r in measured.collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[i] for i in range(200, 220))
+
+
+def test_surprise_equals_definition(spark):
+    rng = random.Random(2)
+    texts = [*(" ".join(rng.choice("a b c d é 日本 f1".split()) for _ in range(rng.randint(1, 30))) for _ in range(40)), "", None, "a", "only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    got = {r.doc_id: r.word_surprise for r in W.scored(docs, lambda b: b.select(["doc_id"]), docs.select("doc_id").schema).collect()}
+    for i, want in enumerate(brute(texts)):
+        assert got[i] is None if want is None else math.isclose(got[i], want, rel_tol=1e-9), i
