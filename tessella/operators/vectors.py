@@ -65,8 +65,29 @@ def clustered(vectors: DataFrame, lists: int, seed: int = 1) -> tuple[DataFrame,
     return model.transform(rows).drop("_v"), spark.createDataFrame(centres, "cell int, centre array<double>")
 
 
-def probe(vectors: DataFrame, cells: DataFrame, query: list[float], k: int, probes: int = 4) -> DataFrame:
-    """Nearest among the vectors of the cells whose centres are nearest to the query."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = cells.orderBy(F.coalesce(squared_distance(F.col("centre"), q), F.lit(0.0)), "cell").limit(probes).select("cell")
-    return nearest(vectors.join(F.broadcast(near), "cell", "left_semi"), query, k)
+def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
+    """(query_id, vec_id, distance): each query's k nearest, exactly. queries: (query_id, query).
+
+    After the cells with the nearest centres, all cells follow that could hold a nearer vector by the
+    triangle inequality: those whose centre is no farther than their radius and the k-th distance so far.
+    """
+    root = F.sqrt(squared_distance(F.col("embedding"), F.col("centre")))
+    radius = vectors.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.max(F.coalesce(root, F.lit(0.0))).alias("radius"))
+    to_centre = F.coalesce(F.sqrt(squared_distance(F.col("centre"), F.col("query"))), F.lit(0.0))
+    plan = queries.crossJoin(F.broadcast(cells.join(radius, "cell"))).withColumn("_to", to_centre)
+    w = Window.partitionBy("query_id").orderBy("_to", "cell")
+    plan = plan.withColumn("_rank", F.row_number().over(w)).select("query_id", "query", "cell", "radius", "_to", "_rank").localCheckpoint()
+
+    def found(chosen: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(chosen.select("query_id", "query", "cell")), "cell")
+        pairs = pairs.select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
+        top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+        return pairs.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k)
+
+    near = found(plan.where(F.col("_rank") <= probes)).localCheckpoint()
+    reach = near.where(F.col("_at") == k).select("query_id", F.sqrt(F.col("distance") + 1e-6).alias("_reach"))
+    rest = plan.where(F.col("_rank") > probes).join(reach, "query_id", "left")
+    rest = rest.where(F.col("_reach").isNull() | (F.col("_to") <= F.col("radius") + F.col("_reach") + 1e-6))
+    top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    both = near.unionByName(found(rest)).withColumn("_at", F.row_number().over(top))
+    return both.where(F.col("_at") <= k).select("query_id", "vec_id", "distance")
