@@ -1,211 +1,46 @@
 """Quality rules: structure of the text, and perplexity under an n-gram model of the corpus.
 
-The model is a modified Kneser-Ney model over n-grams of symbols, with n = 4. A symbol is one of 32
-classes of characters (26 letters, blank, digit, other ASCII, and three classes of the rest), so at
-every corpus size there are at most 32**4 + 32**3 + 32**2 + 32 n-grams: Spark counts all of them
-over all documents, and the model that is broadcast has a proven bound (some 17 MB). Word n-grams
-would grow without bound; a model of them can't be broadcast, and looking it up by joins would
-shuffle every word of the corpus.
-
-The model is stored as sorted hash arrays: for each order, the n-grams' hashes in ascending order,
-with log probability and back-off weight beside them, found by binary search. A document is rejected
-when its perplexity is above the upper or below the lower band of its language; the bands lie around
-the median of the language's documents, at a multiple of their median absolute deviation.
-
-Characters don't see words, so a second model counts word n-grams (wordgrams.py); what is far above
-its language's median there is rejected too. Its lower side is open: copies are for another operator.
+The models (ngrams.py) are modified Kneser-Ney models over n-grams of six bytes, counted by Spark
+over all documents that pass the rules on structure, and held as sorted hash arrays in shards.
+Documents are scored by what the other half of the documents has taught; those that fail the rules
+are scored too, but what they are made of has not been learned.
+
+A document is rejected when its log perplexity is above the upper or below the lower band of its
+language. The bands lie around the median of the language's documents, at a multiple of the
+deviation of their upper and of their lower half; the lower one is wider, as families of copies
+make their own members likely.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm import wordgrams
-from tessella.llm.common import Scratch, prepare, table
+from tessella.llm import ngrams
+from tessella.llm.common import Scratch, join_checked, prepare, table
 
-ORDER, SYMBOLS = 4, 32
-SIZE = SYMBOLS**ORDER
-BLANK, DIGIT, OTHER = 0, 27, 28
-#: Texts are coded in pieces of this many characters, so a very long one needs little memory.
-PIECE = 1 << 18
-#: Half width of a band: so many robust deviations of log perplexity, and at least LEAST_HALF.
-DEVIATIONS, LEAST_HALF = 8.0, 0.14
-#: The same for the surprise of words, upwards only.
-WORD_DEVIATIONS, LEAST_WORD_HALF = 4.0, 0.5
+#: Width of a band on each side, in robust deviations of log perplexity, and at least.
+ABOVE, BELOW, LEAST = 6.0, 12.0, 0.1
 SYMBOL_CHARS = b"#*$%&|<>"
+CAPITALS, SMALL = bytes(range(65, 91)), bytes(range(97, 123))
 MIN_WORDS = 50
+#: The model learns from texts with at most so many symbols a word, and so many capitals a letter (A to Z).
+SYMBOLS_A_WORD, CAPITALS_A_LETTER = 0.1, 0.3
+#: Languages whose bands are broadcast.
+LANGUAGES = 10_000
 
 
-def _symbols() -> np.ndarray:
-    out = np.empty(128, np.uint8)
-    for i in range(128):
-        c = chr(i).lower()
-        out[i] = ord(c) - 96 if "a" <= c <= "z" else BLANK if c.isspace() else DIGIT if c.isdigit() else OTHER
-    return out
-
-
-ASCII_SYMBOLS = _symbols()
-
-
-def grams(text: str):
-    """Codes of the text's n-grams in pieces; the first ones reach into leading blanks."""
-    carry = np.zeros(ORDER - 1, np.uint8)
-    for at in range(0, len(text), PIECE):
-        part = text[at : at + PIECE].lower()
-        if part.isascii():
-            s = ASCII_SYMBOLS[np.frombuffer(part.encode(), np.uint8)]
-        else:
-            cp = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-            s = np.where(cp < 128, ASCII_SYMBOLS[np.minimum(cp, 127)], 29 + cp % 3).astype(np.uint8)
-        s = np.concatenate([carry, s])
-        carry = s[len(s) - ORDER + 1 :]
-        w = s.astype(np.uint32)
-        n = len(w) - ORDER + 1
-        code = w[:n].copy()
-        for j in range(1, ORDER):
-            code <<= np.uint32(5)
-            code |= w[j : n + j]
-        yield code
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all texts; each partition sends at most SIZE rows, which Spark adds up."""
-    prepare(docs.sparkSession)
-
-    def count(batches):
-        total = np.zeros(SIZE, np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for code in grams(text):
-                    at, n = np.unique(code, return_counts=True) if len(code) < 20_000 else (slice(None), np.bincount(code, minlength=SIZE))
-                    total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["gram", "n"])
-
-    rows = docs.where("text is not null").select("text").mapInArrow(count, "gram int, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def order_counts(counts: DataFrame) -> list[DataFrame]:
-    """Per order from ORDER down to 1: (gram, n); below the highest, n is the number of distinct left extensions."""
-    out = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        out.append(out[-1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("n")))
-    return out
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ from the counts of counts; where those are too few, what leaves every count positive."""
-    c = [int((n == i).sum()) for i in range(1, 5)]
-    if not all(c):
-        return np.array([0.5, 0.75, 0.9])
-    y = c[0] / (c[0] + 2 * c[1])
-    d = np.array([1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2]])
-    return np.clip(d, 0.05, [0.95, 1.9, 2.9])
-
-
-def hashed(code: np.ndarray, order: int) -> np.ndarray:
-    """A one-to-one mix of an n-gram's code and order to 64 bits."""
-    with np.errstate(over="ignore"):
-        h = (code.astype(np.uint64) + np.uint64(order << 32)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-
-class Model:
-    """levels[k - 1]: hashes of the k-grams in ascending order, log probabilities, log back-off weights."""
-
-    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]]):
-        """by_order: (codes, counts) for orders 1 to ORDER."""
-        self.levels = []
-        lower = np.full(1, 1 / SYMBOLS)  # below the unigrams: uniform
-        for k, (code, n) in enumerate(by_order, 1):
-            contexts = SYMBOLS ** (k - 1)
-            d = np.concatenate([[0.0], discounts(n)])[np.minimum(n, 3)]
-            total = np.bincount(code // SYMBOLS, n, contexts)
-            mass = np.bincount(code // SYMBOLS, d, contexts)
-            back = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
-            lower_of = np.tile(lower, len(back) * SYMBOLS // max(1, len(lower))) if k > 1 else np.repeat(lower, SYMBOLS)
-            dense = np.repeat(back, SYMBOLS) * lower_of
-            dense[code] += (n - d) / total[code // SYMBOLS]
-            h = hashed(code, k)
-            at = np.argsort(h)
-            self.levels.append([h[at], np.log(dense[code])[at].astype(np.float32), None])
-            seen = np.flatnonzero(total > 0)
-            hc = hashed(seen, k - 1)
-            order = np.argsort(hc)
-            self.levels[-1][2] = (hc[order], np.log(back[seen])[order].astype(np.float32))
-            lower = dense
-
-    def log_probability(self, code: np.ndarray) -> np.ndarray:
-        """log P(last symbol | those before) of ORDER-grams, by binary search from the highest order down."""
-        out = np.zeros(len(code))
-        open_ = np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            h, logp, (ctx, back) = self.levels[k - 1]
-            own = code[open_] % SYMBOLS**k
-            want = hashed(own, k)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, want), len(h) - 1)
-                hit = h[at] == want
-                out[open_[hit]] += logp[at[hit]]
-                open_, own = open_[~hit], own[~hit]
-            if not len(open_):
-                return out
-            if len(ctx):
-                want = hashed(own // SYMBOLS, k - 1)
-                at = np.minimum(np.searchsorted(ctx, want), len(ctx) - 1)
-                out[open_] += np.where(ctx[at] == want, back[at], 0)
-        out[open_] -= math.log(SYMBOLS)
-        return out
-
-    def table(self) -> np.ndarray:
-        """All ORDER-grams' log probabilities (4 MB): each looked up once, not once per occurrence."""
-        if not hasattr(self, "_table"):
-            self._table = np.concatenate(
-                [self.log_probability(np.arange(a, a + (1 << 16))) for a in range(0, SIZE, 1 << 16)]
-            ).astype(np.float32)
-        return self._table
-
-    def __getstate__(self):
-        return {"levels": self.levels}
-
-    def log_perplexity(self, text: str | None) -> float | None:
-        total, n = 0.0, 0
-        for code in grams(text or ""):
-            total -= float(self.table()[code].sum(dtype=np.float64))
-            n += len(code)
-        return total / n if n else None
-
-
-def fit(docs: DataFrame) -> Model:
-    """The model of all texts of docs. What comes to the driver is bounded by the number of symbols."""
-    scratch = Scratch(docs.sparkSession, "perplexity")
-    got = []
-    for df in order_counts(scratch.write(gram_counts(docs), "grams")):
-        t = df.toArrow()
-        code, n = t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy()
-        got.append((code, n))
-    scratch.drop()
-    return Model(got[::-1])
-
-
-# ---- rules on structure -------------------------------------------------------------------
-
-
-def structure(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; all 0 for null.
+def structure(text: str | None, data: bytes | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text (data: its UTF-8); all 0 for null.
 
     Words are runs of anything but ASCII white space. A line repeats when it has a word and equals
     an earlier one. A word repeats when a window of three words that holds it occurs twice or more.
     """
-    data = (text or "").encode("utf-8", "surrogatepass")
+    if data is None:
+        data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     n = len(words)
     chars = len(text or "") - (len(data) - len(data.translate(None, b" \t\n\x0b\x0c\r")))
@@ -227,92 +62,85 @@ def structure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MEASURES = [*METRICS, "base_failed", "log_perplexity", "word_surprise"]
+MEASURES = [*METRICS, "base_failed", "log_perplexity"]
 
 
-def measure(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns but text, and MEASURES; columns of those names are replaced. Perplexity is null for empty texts."""
+def facts(text: str | None, data: bytes) -> tuple[tuple, bool]:
+    """(METRICS and base_failed, whether the model learns from the text)."""
+    s = structure(text, data)
+    failed = s[0] < MIN_WORDS or 100 * s[4] > 50 * s[0]
+    if failed or s[2] > SYMBOLS_A_WORD * s[0]:
+        return (*s, failed), False
+    capitals = len(data) - len(data.translate(None, CAPITALS))
+    letters = capitals + len(data) - len(data.translate(None, SMALL))
+    return (*s, failed), capitals <= CAPITALS_A_LETTER * letters
+
+
+def measure(docs: DataFrame, scratch: Scratch, block: int = ngrams.BLOCK) -> DataFrame:
+    """docs' columns and MEASURES (columns of those names are replaced). Perplexity is null for empty texts.
+
+    docs (text, and more) is read twice and must come in the same partitions and order, as a
+    table does; that is checked. What is returned needs the tables in scratch.
+    """
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop(*MEASURES)
-    at = base.columns.index("text")
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
+    folder, shards = ngrams.fit(base.select("text"), facts, scratch, block)
+    text_at = base.columns.index("text")
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
 
-    def run(b):
-        m = sent.value
-        rows = []
-        for text in b.column(at).to_pylist():
-            s = structure(text)
-            rows.append((*s, s[0] < MIN_WORDS or 100 * s[4] > 50 * s[0], m.log_perplexity(text)))
-        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        rest = [i for i in range(b.num_columns) if i != at]
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *cols], names=[*(b.schema.names[i] for i in rest), *MEASURES[:-1]])
+    def run(batches):
+        for b, known, logs in ngrams.scored(batches, folder, shards, text_at, facts, block):
+            cols = [pa.array([k[i] for k in known], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array(logs, pa.float64())], names=[*b.schema.names, *MEASURES])
 
-    added = StructType()
+    schema = StructType(list(base.schema.fields))
     for c in METRICS:
-        added.add(c, "long")
-    added.add("base_failed", "boolean").add("log_perplexity", "double")
-    return wordgrams.scored(base, run, StructType(base.drop("text").schema.fields + added.fields))
+        schema.add(c, "long")
+    return base.mapInArrow(run, schema.add("base_failed", "boolean").add("log_perplexity", "double"))
 
 
 def bands(measured: DataFrame) -> DataFrame:
     """lang, lower, upper of log perplexity, from the documents that pass the rules on structure.
 
-    The deviation is the middle half's width over 1.349, so outliers don't widen it. Quartiles are
-    exact to 0.0001: documents are counted by language and rounded value, which is few rows at any
-    size, and unlike a sketch of quantiles the counts don't depend on the order of partitions.
+    A half's deviation is its quartile's distance from the median over 0.6745, so outliers don't
+    widen it. Quartiles are of values rounded to 0.0001: their counts are few at any size, are
+    combined before the shuffle, and don't depend on the order of partitions.
     """
-    half = F.greatest(F.lit(DEVIATIONS) * (F.col("q2") - F.col("q0")) / 1.349, F.lit(LEAST_HALF))
-    return quartiles(measured, "log_perplexity").select("lang", (F.col("q1") - half).alias("lower"), (F.col("q1") + half).alias("upper"))
-
+    q = F.expr("percentile(round(log_perplexity, 4), array(0.25, 0.5, 0.75))")
+    rows = measured.where("not base_failed and log_perplexity is not null").groupBy("lang").agg(q.alias("q"))
+    half = lambda times, a, b: F.greatest(times * (F.col("q")[b] - F.col("q")[a]) / 0.6745, F.lit(LEAST))
+    return rows.select("lang", (F.col("q")[1] - half(BELOW, 0, 1)).alias("lower"), (F.col("q")[1] + half(ABOVE, 1, 2)).alias("upper"))
 
-def word_bands(measured: DataFrame) -> DataFrame:
-    """lang, most: the highest surprise of words, by the upper half's width, as near copies widen the lower one."""
-    half = F.greatest(F.lit(WORD_DEVIATIONS) * (F.col("q2") - F.col("q1")) / 0.6745, F.lit(LEAST_WORD_HALF))
-    return quartiles(measured, "word_surprise").select("lang", (F.col("q1") + half).alias("most"))
 
-
-def quartiles(measured: DataFrame, value: str) -> DataFrame:
-    n = measured.where(f"not base_failed and {value} is not null").groupBy("lang", F.round(value, 4).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang")
-    below = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = n.withColumns({"below": below, "total": F.sum("n").over(w)})
-    q = [F.min(F.when(F.col("below") >= p * F.col("total"), F.col("v"))).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75))]
-    return ranked.groupBy("lang").agg(*q)
+def _key(lang: str) -> Column:
+    return F.struct(F.col(lang).isNull(), F.coalesce(lang, F.lit("")))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds lower, upper and kept. There is a row of limits per language; a null language is one too."""
+    left = measured.drop("lower", "upper", "kept", "_lang").withColumn("_lang", _key("lang"))
+    lim = limits.select(_key("lang").alias("_lang"), "lower", "upper")
     within = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    lim = limits.select(F.col("lang").alias("_lang"), "lower", "upper")
-    return (
-        measured.drop("lower", "upper", "kept")
-        .join(lim, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .drop("_lang")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
-    )
-
+    joined = join_checked(left, lim, "_lang", "left", LANGUAGES).drop("_lang")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
 
-def judge_both(measured: DataFrame) -> DataFrame:
-    """judge by the bands of measured itself, and the surprise of words not above its language's band."""
-    lim = word_bands(measured).select(F.col("lang").alias("_lang"), "most")
-    judged = judge(measured, bands(measured)).join(lim, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    return judged.withColumn("kept", F.col("kept") & F.coalesce(F.col("word_surprise") <= F.col("most"), F.lit(False))).drop("most")
 
-
-def quality(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text, lang): doc_id, the measures, the language's band, kept.
+def quality(docs: DataFrame, block: int = ngrams.BLOCK) -> DataFrame:
+    """docs' columns but the text, MEASURES, the language's band (lower, upper) and kept, per row of docs (text, lang, and more).
 
     The model and the bands come from all rows. Null and empty texts fail for want of words;
-    repeated rows are judged alike; a null language has a band of its own; an empty table stays empty.
+    repeated rows are judged alike; a null language has a band of its own; an empty
+    table stays empty. Columns of the added names are replaced. docs should be a table (see measure).
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    measured = scratch.write(measure(docs.select("doc_id", "text", "lang"), fit(docs)), "measured")
-    return judge_both(measured)
+    keep = Scratch(docs.sparkSession, "quality")
+    measured = keep.write(measure(docs, scratch, block).drop("text"), "measured")
+    scratch.drop()
+    return judge(measured, bands(measured))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by their own language column."""
-    return quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", *METRICS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), F.round("word_surprise", 6).alias("word_surprise")
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", *METRICS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity")
     )

@@ -1,33 +1,28 @@
 import math
+import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from tessella.llm import ngrams as N
 from tessella.llm import perplexity as P
 from tests.conftest import SF
 
-
-def symbols(text):
-    out = []
-    for c in text.lower():
-        if ord(c) < 128:
-            out.append(ord(c) - 96 if "a" <= c <= "z" else 0 if c.isspace() else 27 if c.isdigit() else 28)
-        else:
-            out.append(29 + ord(c) % 3)
-    return out
+N_ = N.ORDER
 
 
 class Brute:
-    """Modified Kneser-Ney from its definition, with dictionaries."""
+    """Modified Kneser-Ney of texts from its definition, with dictionaries."""
 
     def __init__(self, texts):
         counts = Counter()
         for t in texts:
-            s = [0, 0, 0, *symbols(t)]
-            counts.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-        self.n = {4: counts}
-        for k in (3, 2, 1):
+            s = N.START + t.encode()
+            counts.update(s[i : i + N_] for i in range(len(s) - N_ + 1))
+        self.n = {N_: counts}
+        for k in range(N_ - 1, 0, -1):
             self.n[k] = Counter(g[1:] for g in self.n[k + 1])
         self.d, self.total, self.types = {}, {}, {}
         for k, c in self.n.items():
@@ -47,7 +42,7 @@ class Brute:
     def p(self, g):
         k = len(g)
         if k == 0:
-            return 1 / 32
+            return 1 / 256
         t = self.total[k][g[:-1]]
         if not t:
             return self.p(g[1:])
@@ -55,6 +50,10 @@ class Brute:
         x = self.n[k].get(g, 0)
         return (x - d(x)) / t + sum(map(d, self.types[k][g[:-1]])) / t * self.p(g[1:])
 
+    def log_perplexity(self, text):
+        s = N.START + text.encode()
+        return -sum(math.log(self.p(s[i : i + N_])) for i in range(len(s) - N_ + 1)) / len(text.encode())
+
 
 def brute_structure(text):
     import re
@@ -69,44 +68,107 @@ def brute_structure(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(rep)
 
 
-def test_model_equals_definition(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    texts = [r.text for r in docs.collect()]
-    model, brute = P.fit(docs), Brute(texts)
-    rng = np.random.default_rng(1)
-    table = model.table()
-    for code in rng.integers(0, P.SIZE, 2000):
-        g = tuple(int(code) >> 5 * j & 31 for j in (3, 2, 1, 0))
-        assert math.isclose(table[code], math.log(brute.p(g)), rel_tol=1e-4), g
-    t = texts[3]
-    s = [0, 0, 0, *symbols(t)]
-    want = -sum(math.log(brute.p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / len(t)
-    assert math.isclose(model.log_perplexity(t), want, rel_tol=1e-4)
-    for k in range(1, 5):  # every context's probabilities sum to 1
-        sums = np.exp(table.reshape(-1, 32).astype(float)).sum(1)
-        assert np.allclose(sums, 1, atol=1e-3)
+def brute_learns(text):
+    n, _, symbols, _, rep = brute_structure(text)
+    letters = [c for c in text or "" if c.isascii() and c.isalpha()]
+    return n >= 50 and 2 * rep <= n and 10 * symbols <= n and sum(c.isupper() for c in letters) <= 0.3 * len(letters)
+
+
+def brute_kept(rows):
+    """doc_id to (log perplexity, kept), from the definitions alone. rows: (doc_id, text, lang)."""
+    half = lambda t: zlib.crc32((t or "").encode()) & 1
+    learned = [t for _, t, _ in rows if brute_learns(t)]
+    models = [Brute([t for t in learned if half(t) != h]) for h in (0, 1)]
+    out, values = {}, defaultdict(list)
+    for i, t, lang in rows:
+        n, _, _, _, rep = brute_structure(t)
+        lp = models[half(t)].log_perplexity(t) if t else None
+        failed = n < 50 or 2 * rep > n
+        out[i] = (lp, failed, lang)
+        if not failed:
+            values[lang].append(round(lp, 4))
+    band = {}
+    for lang, v in values.items():
+        a, b, c = np.quantile(v, [0.25, 0.5, 0.75])
+        band[lang] = (b - max(0.1, 12 * (b - a) / 0.6745), b + max(0.1, 6 * (c - b) / 0.6745))
+    return {i: (lp, not failed and band[lang][0] <= lp <= band[lang][1]) for i, (lp, failed, lang) in out.items()}
+
+
+@pytest.mark.parametrize("block", [N.BLOCK, 5000])
+def test_verdicts_equal_brute_force(spark, block):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").collect()]
+    rows += [(-1, None, "en"), (-2, "", "xx"), (-3, "no such language here at all " * 20, "xx"), (-4, "日本語のテキスト" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in P.quality(docs, block).collect()}
+    want = brute_kept(rows)
+    assert len(got) == len(rows) and sum(r.kept for r in got.values()) > 50
+    for i, (lp, kept) in want.items():
+        assert got[i].kept == kept
+        assert got[i].log_perplexity is None if lp is None else math.isclose(got[i].log_perplexity, lp, rel_tol=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    data = b"the cat sat on the mat. the cat ran. " * 30 + bytes(range(1, 200))
+    code, n = np.unique(np.concatenate(list(N.grams(data))) & ~N.HALF, return_counts=True)
+    counts = {N_: (code, n)}
+    for k in range(N_ - 1, 0, -1):
+        counts[k] = N.extensions(counts[k + 1][0], k)
+    discount = {(k, half): N.discounts(np.array(four)) for k, (c, m) in counts.items() for half, four in N._counts_of_counts(c, m)}
+    low = N.estimate({k: counts[k] for k in (1, 2)}, discount, None)
+    model = N.Model(low | N.estimate({k: counts[k] for k in range(3, N_ + 1)}, discount, low[2][:2]))
+    for ctx in (b"the c", b"zzzzz", b"\n\n\n\nt"):
+        every = np.array([next(N.grams(ctx + bytes([i])))[-1] for i in range(256)]) & ~N.HALF
+        assert math.isclose(np.exp(model.log_probability(every).astype(float)).sum(), 1, rel_tol=1e-5)
+    h = model.arrays[f"p{N_}"]
+    assert (h[1:] > h[:-1]).all()
 
 
 def test_query_equals_brute_force(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = P.op4_quality(spark, SF).collect()
     assert len(got) == len(docs)
-    failed = 0
     for r in got:
         s = brute_structure(docs[r.doc_id].text)
         assert tuple(r[c] for c in P.METRICS) == s
         assert r.base_failed == (s[0] < 50 or 100 * s[4] > 50 * s[0]) and not (r.kept and r.base_failed)
-        failed += r.base_failed
-    kept = sum(r.kept for r in got)
-    assert 0.9 * (len(got) - failed) < kept <= len(got) - failed
 
 
-def test_bands_reject_both_sides(spark):
-    rows = [(i, "en", 1.5 + 0.01 * (i % 5), False) for i in range(100)]
-    rows += [(100, "en", 2.5, False), (101, "en", 0.5, False), (102, None, 4.0, False), (103, "en", 1.52, True)]
+def test_labelled_documents(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [r for r in P.op4_quality(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
+    low = [r.kept for r in passed if labels[r.doc_id] == 0]
+    good = [r.kept for r in passed if labels[r.doc_id] == 1]
+    assert len(low) == 27 and sum(low) <= 2
+    assert len(good) == 327 and sum(good) >= 325
+
+
+def test_word_salad_is_rejected(spark):
+    """Texts whose words are shuffled, though the model learns from such texts, too."""
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    salad = []
+    for r in docs.where("doc_id % 100 = 3").collect():
+        if brute_learns(r.text):
+            w = r.text.split()
+            rng.shuffle(w)
+            salad.append((-1 - r.doc_id, " ".join(w), r.lang))
+    more = spark.createDataFrame(salad, docs.schema)
+    kept = {r.doc_id: r.kept for r in P.quality(docs.union(more)).collect()}
+    assert len(salad) > 60 and sum(kept[i] for i, _, _ in salad) < 0.9 * len(salad)
+
+
+def test_bands_reject_both_sides_of_each_language(spark):
+    rows = []
+    for at, lang in ((0, "en"), (1000, "de")):
+        base = 1.5 if lang == "en" else 2.5
+        rows += [(at + i, lang, base + 0.01 * (i % 5), False) for i in range(100)]
+        rows += [(at + 100, lang, base + 1, False), (at + 101, lang, base - 1, False), (at + 103, lang, base + 0.02, True)]
+    rows += [(102, None, 4.0, False)]
     m = spark.createDataFrame(rows, "doc_id long, lang string, log_perplexity double, base_failed boolean")
     kept = {r.doc_id: r.kept for r in P.judge(m, P.bands(m)).collect()}
-    assert all(kept[i] for i in range(100)) and kept[102] and not any(kept[i] for i in (100, 101, 103))
+    assert kept.pop(102)
+    assert all(kept[i] == (i % 1000 < 100) for i in kept)
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "a\nb\na\nb\n \n", "x y z x y z", " \t\n", "é日本 \x85 ok", "w " * 200_000])
@@ -115,15 +177,34 @@ def test_structure(text):
 
 
 def test_pieces_are_seamless(monkeypatch):
-    text = "The quick é fox. " * 50
-    whole = np.concatenate(list(P.grams(text)))
-    monkeypatch.setattr(P, "PIECE", 7)
-    assert (np.concatenate(list(P.grams(text))) == whole).all() and len(whole) == len(text)
+    data = ("The quick é fox. " * 50).encode()
+    whole = np.concatenate(list(N.grams(data)))
+    monkeypatch.setattr(N, "PIECE", 7)
+    assert (np.concatenate(list(N.grams(data))) == whole).all() and len(whole) == len(data)
+
+
+def test_another_order_is_noticed(spark):
+    from tessella.llm.common import Scratch
+
+    docs = spark.createDataFrame([(f"text number {i} " * 30,) for i in range(40)], "text string").coalesce(1)
+    scratch = Scratch(spark, "test")
+    folder, shards = N.fit(docs, P.facts, scratch, 3000)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b, _, logs in N.scored(batches, folder, shards, 0, P.facts, 3000):
+            yield pa.RecordBatch.from_arrays([pa.array(logs)], names=["x"])
+
+    assert docs.mapInArrow(run, "x double").count() == 40
+    with pytest.raises(Exception, match="another order"):
+        docs.orderBy(docs.text.desc()).coalesce(1).mapInArrow(run, "x double").count()
+    scratch.drop()
 
 
 def test_edges(spark):
-    schema = "doc_id long, text string, lang string, kept int, lower string"
+    schema = "doc_id long, text string, lang string, kept int, lower string, _lang int"
     assert P.quality(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, None, None, 1, ""), (1, "", "en", 1, ""), (2, "one two " * 40, "en", 1, ""), (2, "one two " * 40, "en", 1, "")]
+    rows = [(None, None, None, 1, "", 1), (1, "", "en", 1, "", 1), (2, "one two " * 40, "en", 1, "", 1), (2, "one two " * 40, "en", 1, "", 1)]
     got = P.quality(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 4 and not any(r.kept for r in got)
