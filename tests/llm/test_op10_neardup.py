@@ -57,13 +57,53 @@ def test_families_with_blocks(spark, monkeypatch):
     rows = [(100 + i, t) for i, t in enumerate(texts)]
     want = brute(rows, 3, 85)
     df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, m int, c string")
-    for size in (1_000_000, 700):  # one block, many blocks
+    for size, signatures in ((1_000_000, 10_000), (700, 7)):  # one block, many blocks
         monkeypatch.setattr(neardup, "BLOCK_SHINGLES", size)
+        monkeypatch.setattr(neardup, "BLOCK_SIGNATURES", signatures)
         monkeypatch.setattr(neardup, "BROADCAST_ROWS", 10)
         got = neardup.near_duplicates(df, k=3, num=85).collect()
         assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_growing_texts_with_blocks(spark, monkeypatch):
+    """A chain of texts, each a little longer than the last: sizes spread over many classes, links cross them."""
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate(int(20 * 1.06**j) for j in range(70))]
+    rows += [(500 + i, " ".join(words[i * 40 : i * 40 + 130])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85)
+    assert 1 < len({r[2] for r in want}) < len(rows)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(neardup, "BLOCK_SIGNATURES", 5)
+    assert sorted((tuple(r) for r in neardup.near_duplicates(df, k=3, num=85).collect()), key=str) == want
+
+
+def test_spread_meets_every_possible_pair_once(spark, monkeypatch):
+    from tessella.llm.common import Scratch
+
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in np.exp(rng.uniform(0, 9, 120))] + [17, 20, 340, 400, 4, 4, 4]
+    members = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "c long, m long, n long")
+    from pyspark.sql import functions as F
+
+    groups = {}
+    for r in neardup.spread(members, F.lit(1), 6, 85, 100, Scratch(spark, "test")).collect():
+        groups.setdefault((r.g, r.lo, r.hi), []).append((r.m, r.side))
+    met = []
+    for (g, lo, hi), rows in groups.items():
+        cross = g % 2 == 1 or lo != hi
+        met += [(min(a, b), max(a, b)) for i, (a, s) in enumerate(rows) for b, t in rows[:i] if not cross or s != t]
+    assert len(met) == len(set(met))
+    possible = {(i, j) for j, b in enumerate(sizes) for i, a in enumerate(sizes[:j]) if 100 * min(a, b) >= 85 * max(a, b)}
+    assert possible <= set(met) and len(met) < len(sizes) * (len(sizes) - 1) / 4
+
+
+def test_least_matches():
+    t = neardup.least_matches(210, 0.85)
+    rng = np.random.default_rng(1)
+    assert 130 < t < 160 and (rng.binomial(210, 0.85, 1_000_000) >= t).all()
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
