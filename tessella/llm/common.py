@@ -117,7 +117,8 @@ def open_read(uri: str):
 class atomic_output:
     """Context manager: bytes go to a name of this attempt's own and appear under `uri` when complete.
 
-    A retried or speculative task replaces the file by an equal one; readers never see half a file.
+    Readers never see half a file. A task that runs twice replaces its file, so either the second one
+    must be equal, or its name must be the attempt's own and go out with the task's rows.
     """
 
     def __init__(self, uri: str):
