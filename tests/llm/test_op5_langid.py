@@ -1,4 +1,7 @@
+import itertools
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -16,6 +19,70 @@ def test_held_out_accuracy_and_fold(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+class BruteLanguages:
+    """Error-correcting output codes for up to five languages, from the definition, with dictionaries and plain floats."""
+
+    def __init__(self, rows):
+        counts = {}
+        for text, lang in rows:
+            if text is not None and lang is not None:
+                counts.setdefault(lang, Counter()).update(self.trigrams(text))
+        self.langs = sorted(x for x, c in counts.items() if c)
+        k, size = len(self.langs), langid.BUCKETS
+        p = {x: {b: (counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * size) for b in range(size)} for x in self.langs}
+        self.bits = []
+        for rest in itertools.product((1, -1), repeat=k - 1):
+            sign = dict(zip(self.langs, (1, *rest)))
+            if -1 not in rest:
+                continue
+            up, down = ([x for x in self.langs if sign[x] == s] for s in (1, -1))
+            mean = lambda group, b: sum(p[x][b] for x in group) / len(group)
+            w = {b: math.log(mean(up, b)) - math.log(mean(down, b)) for b in range(size)}
+            expected = {x: sum(p[x][b] * w[b] for b in range(size)) for x in self.langs}
+            top, low = (sum(expected[x] for x in g) / len(g) for g in (up, down))
+            centre, scale = (top + low) / 2, max((top - low) / 2, 1e-9)
+            worst = min(sign[x] * (expected[x] - centre) / scale for x in self.langs)
+            self.bits.append((sign, w, centre, scale, min(1.0, max(0.05, worst))))
+
+    @staticmethod
+    def trigrams(text):
+        data = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode()) + b" "
+        out = Counter(data[i : i + 3] for i in range(len(data) - 2))
+        del out[b"   "]
+        return Counter({h: n for h, n in _hashed(out).items()})
+
+    def predict(self, text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0, True
+        grams = self.trigrams(text)
+        total, loss = sum(grams.values()), {}
+        margins = [(sum(n * w[b] for b, n in grams.items()) / total - centre) / scale for _, w, centre, scale, _ in self.bits]
+        for x in self.langs:
+            loss[x] = sum(r * math.exp(-min(20, max(-20, sign[x] * m))) for (sign, _, _, _, r), m in zip(self.bits, margins))
+        first, second = sorted(self.langs, key=lambda x: loss[x])[:2]
+        score = 1 - loss[first] / loss[second]
+        return first, score, score < langid.AMBIGUOUS
+
+
+def _hashed(grams):
+    out = Counter()
+    for g, n in grams.items():
+        out[(int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 19] += n
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    model = BruteLanguages([(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    got = {r.doc_id: r for r in langid.op5_language(spark, SF).collect()}
+    assert len(got) == len(rows) and len(model.langs) == 4
+    for r in rows:
+        lang, score, ambiguous = model.predict(r.text)
+        g = got[r.doc_id]
+        assert math.isclose(g.score, score, abs_tol=1e-4)
+        assert (g.lang_pred == lang and g.ambiguous == ambiguous) or abs(score - langid.AMBIGUOUS) < 1e-4 or score < 1e-4
+
+
 def test_counts_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {}
