@@ -1,8 +1,9 @@
 """Modified Kneser-Ney models of a corpus' byte n-grams, counted and held in shards.
 
 An n-gram is ORDER bytes of UTF-8 in a row, case, signs and line ends included, so its code is exact
-(48 bits, and one for the half) and the model grows with the corpus and its scripts. All languages
-share a model: five bytes tell them apart, and a passage in another language than its document's
+(48 bits, and one for the half) and the model grows with the corpus and its scripts. A code has the
+context's bytes from the nearest to the farthest, then the last byte, so n-grams with like contexts
+are neighbours. All languages share a model: five bytes tell them apart, and a passage in another language than its document's
 is scored by what is known of that language.
 A document can't vouch for itself: documents fall into two halves by a hash of the text (copies into
 the same one), and each half is scored by the model that has learned from the other. No task
@@ -11,11 +12,11 @@ holds a model, the counts or a list of all n-grams:
 1. Tasks cut their texts into blocks and send each block's distinct n-grams, with their counts in
    the documents to learn from, to shards. A shard is a hash of the last two bytes of the
    context, so whatever orders 3 to ORDER need of each other lies in one shard.
-2. Shards merge these lists as a stream, write the merged counts, and send on the counts of counts
-   and their part of the bigrams' counts. Those are at most 65,536 a half: orders 1 and 2 and
-   the discounts come from them at the driver.
+2. Shards merge these lists as a stream, write the merged counts and the blocks' n-grams, and send on
+   the counts of counts and their part of the bigrams' counts. Those are at most 65,536 a half:
+   orders 1 and 2 and the discounts come from them at the driver.
 3. Shards work out interpolated probabilities, write them as sorted hash arrays, find each block's
-   n-grams there by binary search and send log probabilities back to the block's file.
+   n-grams there by binary search and send log probabilities, to 1/2000, back to the block's file.
 4. The texts are read again and each block takes its n-grams' values from its file.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import io
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -41,7 +43,9 @@ ORDER = 6
 #: The lowest order that a shard works out alone.
 LOCAL = 3
 #: Bytes of text in a block, bytes of a text coded at once, n-grams that a merge holds unsorted.
-BLOCK, PIECE, PENDING = 6_000_000, 1 << 20, 2_000_000
+BLOCK, PIECE, PENDING = 10_000_000, 1 << 20, 2_000_000
+#: Log probabilities are sent back in steps of 1 / STEPS, in 16 bits: what is below -32.7 counts as that.
+STEPS = 2000
 #: Bytes before a text's first.
 START = b"\n" * (ORDER - 1)
 
@@ -61,20 +65,20 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
     for at in range(0, len(data), PIECE):
         b = np.frombuffer((START + data[:PIECE]) if not at else data[at - ORDER + 1 : at + PIECE], np.uint8)
         n = len(b) - ORDER + 1
-        code = b[:n].astype(U)
-        for j in range(1, ORDER):
-            code <<= U(8)
-            code |= b[j : n + j]
-        yield code | high
+        code = b[ORDER - 1 :] | high
+        for j in range(ORDER - 1):
+            code |= b[j : n + j].astype(U) << U(8 * (j + 1))
+        yield code
 
 
 def tail(code: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes of n-grams, with the half."""
-    return (code & HALF) | (code & U((1 << 8 * k) - 1))
+    """The last k bytes of n-grams, with the half; the context's farther bytes are 0."""
+    far = (1 << 8 * ORDER) - (1 << 8 * (ORDER - k + 1))
+    return code & (HALF | U(far) | U(255))
 
 
 def context(code: np.ndarray) -> np.ndarray:
-    return (code & HALF) | ((code & ~HALF) >> U(8))
+    return code & ~U(255)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -249,10 +253,10 @@ class Block:
             yield int(s), packed(np.diff(code, prepend=U(0))), packed(m)
 
     def scores(self, values: np.ndarray) -> Iterator[tuple[int, float, int]]:
-        """Per piece: document, sum of -log P, bytes."""
+        """Per piece: document, sum of -log P in steps, bytes."""
         starts = np.cumsum(self.length) - self.length
-        sums = np.add.reduceat(values[self.at], starts, dtype=np.float64)
-        yield from zip(self.doc, -sums, self.length, strict=True)
+        sums = np.add.reduceat(values[self.at], starts, dtype=np.int64)
+        yield from zip(self.doc, sums, self.length, strict=True)
 
 
 def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block, list]]:
@@ -284,6 +288,20 @@ def _rows(batches, *names):
         yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
 
 
+def _kept(file, rows):
+    """The rows, whose names and n-grams go to the file."""
+    for r in rows:
+        name = r[1].encode()
+        file.write(struct.pack("<II", len(name), len(r[2])) + name + r[2])
+        yield r
+
+
+def _lists(file) -> Iterator[tuple[str, bytes]]:
+    while head := file.read(8):
+        name, size = struct.unpack("<II", head)
+        yield file.read(name).decode(), file.read(size)
+
+
 def _merge(rows) -> tuple[np.ndarray, np.ndarray]:
     """Sums of a shard's lists, of the n-grams to learn from, each for the other half. Holds the shard's n-grams and PENDING more."""
     codes, ns, held = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
@@ -336,23 +354,24 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
                         names=["shard", "block", "grams", "n"],
                     )
 
-    sent = scratch.write(docs.mapInArrow(send, SENT), "sent")
-    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = docs.mapInArrow(send, SENT).repartition(shards, "shard").sortWithinPartitions("shard")
 
     def summary(batches):
         for shard, rows in groupby(_rows(batches, "shard", "block", "grams", "n"), itemgetter(0)):
-            code, n = _merge(rows)
+            with atomic_output(f"{folder}/lists/{shard}") as f:
+                code, n = _merge(_kept(f, rows))
             with atomic_output(f"{folder}/counts/{shard}") as f:
                 f.write(_npz({"code": code, "n": n}))
-            counts, out = _levels(code, n), []
+            counts, out = _levels(code, n), [(0, 0, shard, 1)]
             for k, (c, m) in counts.items():
                 out += [(k, half, i, x) for half, four in _counts_of_counts(c, m) for i, x in enumerate(four) if x]
             c, m = extensions(counts[LOCAL][0], 2)
-            out += zip([2] * len(c), (c >> U(63)).tolist(), (c & U(0xFFFF)).tolist(), m.tolist(), strict=True)
-            cols = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
+            out += zip([2] * len(c), (c >> U(63)).tolist(), (c & ~HALF).tolist(), m.tolist(), strict=True)
+            cols = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=["k", "half", "key", "x"])
 
     few = dealt.mapInArrow(summary, "k long, half long, key long, x long").groupBy("k", "half", "key").agg(F.sum("x")).collect()
+    present = sorted(key for k, _, key, _ in few if k == 0)
     of_counts: dict = {}
     for k, half, i, x in few:
         if k > 2:
@@ -368,17 +387,18 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
 
     def answer(batches):
         discount, lower = known.value
-        for shard, rows in groupby(_rows(batches, "shard", "block", "grams", "n"), itemgetter(0)):
+        for shard in (present[i] for b in batches for i in b.column(0).to_pylist()):
             z = _read_npz(f"{folder}/counts/{shard}")
             model = Model(lower | estimate(_levels(z["code"], z["n"]), discount, lower[2][:2]))
             model.save(f"{folder}/model/{shard}")
-            for _, block, grams_, _ in rows:
-                code = np.cumsum(unpacked(grams_), dtype=U)
-                values = model.log_probability(code)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([shard], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([_check(code)], pa.int64())],
-                    names=["block", "shard", "values", "code"],
-                )
+            with open_read(f"{folder}/lists/{shard}") as f:
+                for block, grams_ in _lists(f):
+                    code = np.cumsum(unpacked(grams_), dtype=U)
+                    values = np.rint(np.clip(model.log_probability(code) * np.float32(-STEPS), 0, 65535)).astype("<u2")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block]), pa.array([shard], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([_check(code)], pa.int64())],
+                        names=["block", "shard", "values", "code"],
+                    )
 
     def keep(batches):
         for block, rows in groupby(_rows(batches, "block", "shard", "values", "code"), itemgetter(0)):
@@ -388,7 +408,8 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
                 f.writelines(r[2] for r in got)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
-    answers = dealt.mapInArrow(answer, "block string, shard int, values binary, code long")
+    each = spark.range(0, len(present), 1, max(1, len(present)))
+    answers = each.mapInArrow(answer, "block string, shard int, values binary, code long")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     answers.repartition(parts, "block").sortWithinPartitions("block", "shard").mapInArrow(keep, "n long").agg(F.sum("n")).collect()
     return folder, shards
@@ -411,12 +432,12 @@ def scored(batches, folder: str, shards: int, text_at: int, facts, size: int = B
             with open_read(f"{folder}/answers/{name}") as f:
                 check, data = int.from_bytes(f.read(16), "little", signed=True), f.read()
             _, first = np.unique(block.shard, return_index=True)
-            if len(data) != 4 * len(block.sent) or check != sum(map(_check, np.split(block.sent, first[1:]))):
+            if len(data) != 2 * len(block.sent) or check != sum(map(_check, np.split(block.sent, first[1:]))):
                 raise RuntimeError(f"block {name} was read in another order than when it was counted")
-            for doc, total, n in block.scores(np.frombuffer(data, np.float32)):
-                t = totals.setdefault(doc, [0.0, 0])
-                t[0] += float(total)
+            for doc, total, n in block.scores(np.frombuffer(data, "<u2")):
+                t = totals.setdefault(doc, [0, 0])
+                t[0] += int(total)
                 t[1] += int(n)
         for end, b, known in done:
             own = [totals.pop(i, None) for i in range(end - b.num_rows, end)]
-            yield b, known, [t[0] / t[1] if t else None for t in own]
+            yield b, known, [t[0] / STEPS / t[1] if t else None for t in own]
