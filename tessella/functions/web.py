@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -66,15 +67,46 @@ def masked_link(url: Column, call: Column, result: Column) -> Column:
     return F.concat(domain(url), F.lit(" | "), ref)
 
 
-def records(page: Column, pattern: str, most: int | None = None) -> Column:
-    """array of struct(link, title) from a pattern whose groups 1 and 2 are link and title; link is mandatory.
+def plain_text(c: Column) -> Column:
+    """Without tags, with entities resolved, without outer space."""
+    return strip(unescape(strip_tags(c)))
 
+
+def records(pages: DataFrame, pattern: str, html: str = "html", top_k: int = 10, most: int | None = None) -> DataFrame:
+    """pages' columns but the html, and at, link, title, snippet: what a pattern with named groups finds, http links first come only.
+
+    pattern: groups `link` (mandatory), `title`, `snippet`, matched over lines and without case. The
+    title defaults to the link; a link counts once in a page, and a page gives top_k at most (a top-k report).
     most: read so many characters of each page (a limit of the caller's; none as a rule).
     """
-    text = page if most is None else F.substring(page, 1, most)
-    p = F.lit("(?is)" + pattern)
-    links, titles = F.regexp_extract_all(text, p, 1), F.regexp_extract_all(text, p, 2)
-    both = F.arrays_zip(links.alias("link"), titles.alias("title"))
-    rows = F.transform(both, lambda r: F.struct(strip(r["link"]).alias("link"), strip_tags(r["title"]).alias("title")))
-    rows = F.filter(rows, lambda r: r["link"] != "")
-    return F.transform(rows, lambda r: F.struct(r["link"].alias("link"), F.when(r["title"] == "", r["link"]).otherwise(r["title"]).alias("title")))
+    names = re.findall(r"\(\?P<(\w+)>", pattern)
+    if "link" not in names:
+        raise ValueError("the pattern needs a group named link")
+    java = F.lit("(?is)" + pattern.replace("(?P<", "(?<"))
+    text = F.col(html) if most is None else F.substring(html, 1, most)
+    groups = _groups(pattern)
+    found = F.arrays_zip(*[F.regexp_extract_all(text, java, groups[n]).alias(n) for n in ("link", "title", "snippet") if n in groups])
+    rest = [c for c in pages.columns if c != html]
+    rows = pages.select(*rest, F.posexplode(found).alias("at", "r")).select(*rest, "at", "r.*")
+    rows = rows.withColumn("link", strip(unescape(F.col("link")))).where(F.col("link").rlike("(?i)^https?://"))
+    rows = rows.withColumns({n: plain_text(F.col(n)) if n in groups else F.lit("") for n in ("title", "snippet")})
+    rows = rows.groupBy(*rest, "link").agg(F.min(F.struct("at", "title", "snippet")).alias("r")).select(*rest, "link", "r.*")
+    w = Window.partitionBy(*rest).orderBy("at")
+    rows = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= top_k)
+    return rows.withColumn("title", F.when(F.col("title") == "", F.col("link")).otherwise(F.col("title"))).select(*rest, "at", "link", "title", "snippet")
+
+
+def _groups(pattern: str) -> dict[str, int]:
+    """Number of each named group."""
+    out, n, i = {}, 0, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[":
+            i = pattern.index("]", i + 2)
+        elif pattern[i] == "(" and (pattern[i + 1 : i + 2] != "?" or pattern[i + 1 : i + 4] == "?P<"):
+            n += 1
+            if m := re.match(r"\(\?P<(\w+)>", pattern[i:]):
+                out[m[1]] = n
+        i += 1
+    return out

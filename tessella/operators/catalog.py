@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import heading_key, heading_title
+from tessella.session import cut_lineage
+
+
+def _last_by_level(rows: DataFrame, value: Column, order: Column) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """rows with, for each level that occurs, `value` of the last row before it (in `order`) of that level.
+
+    One sort and one growing frame per level, so the work is linear in the rows; value is null where it doesn't count.
+    """
+    deepest = int(rows.agg(F.max("level")).first()[0] or 1)
+    w = Window.partitionBy("doc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    names = [(k, f"_level{k}") for k in range(1, deepest + 1)]
+    return rows.select("*", *[F.last(F.when(F.col("level") == k, value), ignorenulls=True).over(w).alias(c) for k, c in names]), names
+
+
+def _latest(columns: list[Column]) -> Column:
+    """The greatest struct, nulls aside."""
+    return F.greatest(*columns, columns[0])
 
 
 def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
@@ -15,12 +32,10 @@ def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
     next boundary is the first later marker with a page and a level not deeper. A range never ends
     before it starts; without a boundary it ends with the document.
     """
-    level = F.coalesce(F.nullif("level", F.lit(0)), F.lit(1))
-    m = markers.withColumn("level", level)
-    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("page", "level")).over(w)
-    m = m.withColumn("later", later)
-    boundary = F.get(F.filter("later", lambda x: (x["level"] <= F.col("level")) & x["page"].isNotNull()), F.lit(0))["page"]
+    m = markers.withColumn("level", F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)))
+    place = F.when(F.col("page").isNotNull(), F.struct((-F.col("ord")).alias("back"), "page"))
+    m, later = _last_by_level(m, place, F.col("ord").desc())
+    boundary = _latest([F.when(F.lit(k) <= F.col("level"), F.col(c)) for k, c in later])["page"]
     end = F.when(boundary.isNotNull(), boundary - 1).otherwise(total_pages)
     title = heading_title(F.col("title"))
     return m.where((F.col("page") > 0) & (title != "")).select(
@@ -30,20 +45,16 @@ def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
 
 
 def paths(rows: DataFrame) -> DataFrame:
-    """rows (doc, ord, title, level 1 to 6) with path: the titles of the nearest earlier shallower rows and its own."""
-    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = [
-        F.last(F.when(F.col("level") == k, F.struct("ord", "title")), ignorenulls=True).over(w).alias(f"l{k}") for k in range(1, 6)
-    ]
-    r = rows.select("*", *before)
+    """rows (doc, ord, title, level from 1) with path: the titles of the nearest earlier shallower rows and its own."""
+    r, before = _last_by_level(rows, F.struct("ord", "title"), F.col("ord"))
     # level k counts when it is shallower than the row and no shallower one comes after it
     parts, newest = [], F.lit(-1).cast("long")
-    for k in range(1, 6):
-        c = F.col(f"l{k}")
-        ok = (F.lit(k) < F.col("level")) & c.isNotNull() & (c["ord"] > newest)
-        parts.append(F.when(ok, c["title"]))
-        newest = F.greatest(newest, F.when(c.isNotNull() & (F.lit(k) < F.col("level")), c["ord"]).otherwise(F.lit(-1)).cast("long"))
-    return r.withColumn("path", F.concat_ws("/", *parts, F.col("title"))).drop(*[f"l{k}" for k in range(1, 6)])
+    for k, name in before:
+        c = F.col(name)
+        shallower = (F.lit(k) < F.col("level")) & c.isNotNull()
+        parts.append(F.when(shallower & (c["ord"] > newest), c["title"]))
+        newest = F.greatest(newest, F.when(shallower, c["ord"]).otherwise(F.lit(-1)).cast("long"))
+    return r.withColumn("path", F.concat_ws("/", *parts, F.col("title"))).drop(*[c for _, c in before])
 
 
 def best_section(pages: DataFrame, sections: DataFrame) -> DataFrame:
@@ -142,22 +153,26 @@ def boundary_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
     """nodes (doc, ord, title, level) with parent: ord of the nearest earlier node of a smaller level."""
-    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct("ord", "level")).over(w)
-    up = F.element_at(F.filter("_e", lambda x: x["level"] < F.col("level")), -1)
-    n = nodes.withColumn("_e", earlier)
-    return n.withColumn("parent", F.when(F.exists("_e", lambda x: x["level"] < F.col("level")), up["ord"])).drop("_e")
-
-
-def closure(edges: DataFrame, most: int = 6) -> DataFrame:
-    """(doc, ancestor, node, distance) of edges (doc, ord, parent), each node its own at 0, up to `most` levels."""
-    up = edges.select("doc", F.col("ord").alias("ancestor"), "parent")
-    now = edges.select("doc", F.col("ord").alias("node"), F.col("ord").alias("ancestor"), F.lit(0).alias("distance"))
-    out = now
-    for d in range(1, most + 1):
-        now = now.join(up, ["doc", "ancestor"]).where("parent is not null").select("doc", "node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(now)
-    return out.select("doc", "ancestor", "node", "distance")
+    n, before = _last_by_level(nodes, F.struct("ord"), F.col("ord"))
+    up = _latest([F.when(F.lit(k) < F.col("level"), F.col(c)) for k, c in before])
+    return n.withColumn("parent", up["ord"]).drop(*[c for _, c in before])
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(doc, ancestor, node, distance) of edges (doc, ord, parent), each node its own at 0, to any depth.
+
+    Links are doubled until none is left, so a tree of depth d takes log2(d) joins.
+    """
+    far = cut_lineage(edges.where("parent is not null").select("doc", F.col("ord").alias("node"), F.col("parent").alias("ancestor")))
+    reach = edges.select("doc", F.col("ord").alias("node"), F.col("ord").alias("ancestor"), F.lit(0).alias("distance"))
+    size = 1
+    while far.limit(1).count():
+        step = far.select("doc", F.col("node").alias("ancestor"), F.col("ancestor").alias("up"))
+        onward = reach.join(step, ["doc", "ancestor"]).select("doc", "node", F.col("up").alias("ancestor"), (F.col("distance") + size).alias("distance"))
+        reach = cut_lineage(reach.unionByName(onward))
+        far = cut_lineage(far.join(step, ["doc", "ancestor"]).select("doc", "node", F.col("up").alias("ancestor")))
+        size *= 2
+    return reach.select("doc", "ancestor", "node", "distance")
 
 
 def roll_up(edges: DataFrame, texts: DataFrame) -> DataFrame:

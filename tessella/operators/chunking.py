@@ -11,6 +11,8 @@ from tessella.session import ship_package
 
 #: Where to cut, in order of preference.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", "，", ",", " "]
+#: The same for windows that overlap, and by how much.
+OVERLAP_SEPARATORS, OVERLAP = ["\n\n", "\n", "。", "！", "？", "；", "，", " "], 180
 
 
 def split_budget(text: str | None, budget: int = 1200, separators: list[str] | None = None, overlap: int = 0) -> list[str]:
@@ -45,7 +47,7 @@ def chunks(docs: DataFrame, budget: int = 1200, overlap: int = 0) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pieces = split_budget(text, budget, overlap=overlap)
+                pieces = split_budget(text, budget, OVERLAP_SEPARATORS if overlap else SEPARATORS, overlap)
                 rows += [(doc_id, i, len(pieces), p) for i, p in enumerate(pieces)]
             if rows:
                 cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.chunking import chunks
+from tessella.session import cut_lineage
+
 #: Characters of a search row's text, and rows of an answer.
 ROW_CHARS, MOST_ROWS = 1400, 50
 
 
 def search_rows(docs: DataFrame, section: str = "source") -> DataFrame:
-    """(doc_id, section, text cut to a row's size) of documents with some text."""
-    text = F.substring("text", 1, ROW_CHARS)
-    return docs.select("doc_id", F.col(section).alias("section"), text.alias("text")).where(F.col("text").rlike(r"(?U)\S"))
+    """Rows of a search over docs (doc_id, text): doc_id, section, section_id, parent_section_id, page, page_start, page_end, text.
+
+    A row is a fragment of at most 1200 characters, so every part of a text is searched; a fragment
+    stands for a page. Documents without text have none.
+    """
+    parts = chunks(docs).join(docs.select("doc_id", F.col(section).alias("section")).distinct(), "doc_id")
+    page = F.col("chunk_index") + 1
+    own = F.concat_ws("::", F.col("doc_id").cast("string"), F.when(F.col("chunk_count") > 1, "semipage").otherwise("monopage"), F.col("chunk_index").cast("string"))
+    return parts.select(
+        "doc_id", "section", own.alias("section_id"), F.col("doc_id").cast("string").alias("parent_section_id"),
+        page.alias("page"), page.alias("page_start"), page.alias("page_end"), F.substring("text", 1, ROW_CHARS).alias("text"),
+    )
 
 
 def search_filter(
@@ -73,9 +88,22 @@ def page_command(command: Column, current: Column, pages: Column) -> Column:
 
 
 def within_budget(rows: DataFrame, order: list[str], budget: int, by: list[str]) -> DataFrame:
-    """Of each group, the first rows whose texts fit the budget together; the first that doesn't fit ends it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(F.length("text")).over(w)).where(F.col("running") <= budget)
+    """Of each group, the first rows whose texts fit the budget together; the first that doesn't fit ends it.
+
+    Rows that are equal in by and order count once. Sums run within ranges of the order, and what a group
+    has before a range comes from a row per group and range, so a group of any size is no task's own.
+    """
+    keys = [*by, *order]
+    one = rows.dropDuplicates(keys)
+    ranged = cut_lineage(one.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    size = F.length(F.coalesce("text", F.lit("")))
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_before") <= budget)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_part"]]
+    joined = ranged.alias("r").join(carried.alias("c"), reduce(and_, same)).select("r.*", "_before")
+    return joined.withColumn("running", F.col("_before") + F.sum(size).over(within)).where(F.col("running") <= budget).drop("_before", "_part")
 
 
 def overlap_score(query: Column, text: Column, most: int = 4000) -> Column:

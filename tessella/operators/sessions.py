@@ -65,3 +65,55 @@ def job_progress(events: DataFrame) -> DataFrame:
     docs = e.where("doc is not null").groupBy("job", "doc").agg(F.max("level").alias("own"), F.max((F.col("stage") == "build_doc_failed").cast("int")).alias("failed"))
     both = docs.join(common, "job", "left").withColumn("p", F.greatest("own", F.coalesce("common", F.lit(0))))
     return both.groupBy("job").agg(F.bround(F.avg("p")).cast("int").alias("progress"), F.sum("failed").alias("failed"))
+
+
+#: Stages that end a job, and how much of an output is kept.
+TERMINAL = ("job_completed", "job_failed", "job_cancelled")
+OUTPUT_CHARS = 200_000
+
+
+def token_usage(messages: DataFrame) -> DataFrame:
+    """(conv_id, tokens, answer) of messages (conv_id, turn, role, text, total_tokens): the tokens' sum and the last answer with some text."""
+    tokens = messages.groupBy("conv_id").agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
+    return tokens.join(last_answer(messages), "conv_id").select("conv_id", "tokens", "answer")
+
+
+def call_log(events: DataFrame) -> DataFrame:
+    """(session, call_id, nth, tool, input, output, started, ended) of start and end events in their order.
+
+    events: session, ord, kind (start or end), call_id, tool, text. An end closes the latest open record of
+    its call_id, so with nested starts of one identifier the ends match like brackets: at a start the
+    depth grows, at an end it falls, and an end belongs to the last start of its depth. Ends without an
+    open record close nothing.
+    """
+    w = Window.partitionBy("session", "call_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("kind") == "start", 1).otherwise(-1)
+    run = F.sum(step).over(w)
+    # an end beyond the open records would take the depth below its floor so far: it is left out of the depth
+    floor = F.least(F.min("run").over(w), F.lit(0))
+    e = events.withColumn("run", run).withColumn("floor", floor)
+    before = F.coalesce(F.lag("floor").over(Window.partitionBy("session", "call_id").orderBy("ord")), F.lit(0))
+    e = e.withColumns({"lost": (F.col("kind") == "end") & (F.col("floor") < before)})
+    e = e.withColumn("depth", F.col("run") - F.col("floor") + F.when((F.col("kind") == "end") & ~F.col("lost"), 1).otherwise(0)).where("not lost")
+    level = Window.partitionBy("session", "call_id", "depth").orderBy("ord")
+    e = e.withColumns({"next_kind": F.lead("kind").over(level), "end_ord": F.lead("ord").over(level), "end_text": F.lead("text").over(level)})
+    closed = F.col("next_kind") == "end"
+    starts = e.where("kind = 'start'").select(
+        "session", "call_id", "tool", F.col("text").alias("input"), F.col("ord").alias("started"),
+        F.when(closed, F.col("end_ord")).alias("ended"), F.when(closed, F.substring(F.coalesce("end_text", F.lit("")), 1, OUTPUT_CHARS)).alias("output"),
+    )
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("started"))
+    return starts.withColumn("nth", nth).select("session", "call_id", "nth", "tool", "input", "output", "started", "ended")
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(job, state, progress, failed) of stage events (job, ord, doc, stage): the first terminal stage ends a job, and what follows changes nothing.
+
+    A job without one is running, and its progress is that of `job_progress`; a completed one has 100.
+    """
+    first = events.where(F.col("stage").isin(*TERMINAL)).groupBy("job").agg(F.min(F.struct("ord", "stage")).alias("t"))
+    live = events.join(first, "job", "left").where(F.col("t").isNull() | (F.col("ord") < F.col("t.ord"))).select("job", "doc", "stage")
+    jobs = events.select("job").distinct().join(first, "job", "left").join(job_progress(live.where(~F.col("stage").isin(*TERMINAL))), "job", "left")
+    state = F.coalesce(F.regexp_replace("t.stage", "^job_", ""), F.lit("running"))
+    progress = F.when(F.col("t.stage") == "job_completed", F.lit(100)).otherwise(F.coalesce("progress", F.lit(0)))
+    return jobs.select("job", state.alias("state"), progress.cast("int").alias("progress"), F.coalesce("failed", F.lit(0)).cast("long").alias("failed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut_lineage
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     parts = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -76,7 +78,8 @@ def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, prob
     to_centre = F.coalesce(F.sqrt(squared_distance(F.col("centre"), F.col("query"))), F.lit(0.0))
     plan = queries.crossJoin(F.broadcast(cells.join(radius, "cell"))).withColumn("_to", to_centre)
     w = Window.partitionBy("query_id").orderBy("_to", "cell")
-    plan = plan.withColumn("_rank", F.row_number().over(w)).select("query_id", "query", "cell", "radius", "_to", "_rank").localCheckpoint()
+    plan = plan.withColumn("_rank", F.row_number().over(w)).select("query_id", "query", "cell", "radius", "_to", "_rank")
+    plan = cut_lineage(plan)
 
     def found(chosen: DataFrame) -> DataFrame:
         pairs = vectors.join(F.broadcast(chosen.select("query_id", "query", "cell")), "cell")
@@ -84,7 +87,7 @@ def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, prob
         top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return pairs.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k)
 
-    near = found(plan.where(F.col("_rank") <= probes)).localCheckpoint()
+    near = cut_lineage(found(plan.where(F.col("_rank") <= probes)))
     reach = near.where(F.col("_at") == k).select("query_id", F.sqrt(F.col("distance") + 1e-6).alias("_reach"))
     rest = plan.where(F.col("_rank") > probes).join(reach, "query_id", "left")
     rest = rest.where(F.col("_reach").isNull() | (F.col("_to") <= F.col("radius") + F.col("_reach") + 1e-6))

@@ -45,15 +45,15 @@ def clean_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(c).alias("cleaned_md5"), F.length(c).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, md5(left(text, 200)) AS id, 'rag:v2:' || md5(source || '::' || regexp_replace(trim(lower(left(text, 80))), '\\s+', ' ', 'g')) AS cache_key FROM documents")
+@query("SELECT doc_id, md5(left(text, 200)) AS id, 'rag:v2:' || md5(source || '::' || regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS cache_key FROM documents")
 def doc_identity_md5(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", store.identity(F.lit(None).cast("string"), F.col("text")).alias("id"), store.cache_key(F.col("source"), F.substring("text", 1, 80)).alias("cache_key"))
+    return d.select("doc_id", store.identity(F.lit(None).cast("string"), F.col("text")).alias("id"), store.cache_key(F.col("source"), F.col("text")).alias("cache_key"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 300)), '\s+', '', 'g'), '[^\p{L}\p{M}\p{N}_]', '', 'g') AS key FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\s+', '', 'g'), '[^\p{L}\p{M}\p{N}_]', '', 'g') AS key FROM documents")
 def heading_keys(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.heading_key(F.substring("text", 1, 300)).alias("key"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.heading_key(F.col("text")).alias("key"))
 
 
 CHUNK_SQL = """
@@ -84,11 +84,9 @@ def chunk_counts_by_lang(spark, sf_dir):
     return c.join(d.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("c").alias("chunks"), F.sum("n").alias("chars"))
 
 
-@query("SELECT doc_id, (i + 1)::INT AS page, len(ls[cut(i)+1:cut(i+1)]) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), (SELECT unnest(range(4)) AS i)".replace("cut(i+1)", "round_even((i + 1) * len(ls) / 4.0, 0)::INT").replace("cut(i)", "round_even(i * len(ls) / 4.0, 0)::INT"))
+@query(r"SELECT doc_id, (i + 1)::INT AS page, md5(regexp_replace(array_to_string(ls[cut(i)+1:cut(i+1)], chr(10)), '^\s+|\s+$', '', 'g')) AS text_md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), (SELECT unnest(range(4)) AS i)".replace("cut(i+1)", "round_even((i + 1) * len(ls) / 4.0, 0)::INT").replace("cut(i)", "round_even(i * len(ls) / 4.0, 0)::INT"))
 def force_four_pages(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"(?m)^$", "-")).withColumn("text", F.regexp_replace("text", r"[^\n]+", "x"))
-    p = chunking.force_pages(d, 4)
-    return p.select("doc_id", "page", F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return chunking.force_pages(read(spark, sf_dir, "documents"), 4).select("doc_id", "page", F.md5("text").alias("text_md5"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -112,19 +110,19 @@ def numerals(spark, sf_dir):
 
 
 # ---- retrieval ----------------------------------------------------------------------------
-ROWS_SQL = "(SELECT doc_id, source AS section, left(text, 1400) AS text FROM documents WHERE regexp_matches(left(text, 1400), '\\S'))"
+ROWS_SQL = "(SELECT doc_id, source AS section, chunk_index + 1 AS page, text FROM (" + CHUNK_SQL.format(columns="(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, piece AS text", tail="") + ") JOIN documents USING (doc_id))".replace("documents USING", "(SELECT doc_id, source FROM documents) USING")
 
 
-@query(f"SELECT doc_id, section, length(text) AS n FROM {ROWS_SQL} WHERE regexp_matches(text, '(?i)(license|copyright|error)')")
+@query(f"SELECT doc_id, page::INT AS page, section, length(text) AS n FROM {ROWS_SQL} WHERE regexp_matches(text, '(?i)(license|copyright|error)')")
 def regex_search(spark, sf_dir):
     rows = retrieval.search_rows(read(spark, sf_dir, "documents"))
-    return retrieval.search_filter(rows, regex="(license|copyright|error)").select("doc_id", "section", F.length("text").cast("long").alias("n"))
+    return retrieval.search_filter(rows, regex="(license|copyright|error)").select("doc_id", "page", "section", F.length("text").cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, section FROM {ROWS_SQL} WHERE contains(lower(section), 'src1') AND contains(lower(text), 'tion')")
+@query(f"SELECT doc_id, page::INT AS page, section FROM {ROWS_SQL} WHERE contains(lower(section), 'src1') AND contains(lower(text), 'tion')")
 def section_filter_search(spark, sf_dir):
     rows = retrieval.search_rows(read(spark, sf_dir, "documents"))
-    return retrieval.search_filter(rows, section="SRC1", chunk="Tion").select("doc_id", "section")
+    return retrieval.search_filter(rows, section="SRC1", chunk="Tion").select("doc_id", "page", "section")
 
 
 @query("SELECT doc_id, chunk_index FROM (" + CHUNK_SQL.format(columns="(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index", tail="") + ") WHERE chunk_index + 1 BETWEEN 3 AND 4")
@@ -134,15 +132,15 @@ def page_overlap_search(spark, sf_dir):
     return retrieval.search_filter(c.withColumns({"page_start": page, "page_end": page}), page_start=3, page_end=4).select("doc_id", "chunk_index")
 
 
-@query(f"""SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, section, doc_id)::INT AS rank FROM (
-SELECT doc_id, section, round(CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 1) <> '' THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 2) <> '' THEN 0.5 ELSE 0.0 END
- + CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 3) <> '' THEN 0.25 ELSE 0.0 END, 6)::DOUBLE AS score FROM {ROWS_SQL}) ORDER BY score DESC, section, doc_id LIMIT 50""")
+@query(f"""SELECT doc_id, page::INT AS page, score, row_number() OVER (ORDER BY score DESC, section, doc_id, page)::INT AS rank FROM (
+SELECT doc_id, page, section, round(CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 1) <> '' THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 2) <> '' THEN 0.5 ELSE 0.0 END
+ + CASE WHEN regexp_extract(text, '(?i)(the)\\s+(tion\\w*)|(\\w*tion)', 3) <> '' THEN 0.25 ELSE 0.0 END, 6)::DOUBLE AS score FROM {ROWS_SQL}) ORDER BY score DESC, section, doc_id, page LIMIT 50""")
 def capture_group_rank(spark, sf_dir):
     rows = retrieval.search_rows(read(spark, sf_dir, "documents"))
     score = retrieval.group_score(F.col("text"), r"(the)\s+(tion\w*)|(\w*tion)", [1.0, 0.5, 0.25])
-    top = retrieval.best(rows.select("doc_id", "section", F.round(score, 6).alias("score")), 50, "section", "doc_id")
+    top = retrieval.best(rows.select("doc_id", "page", "section", F.round(score, 6).alias("score")), 50, "section", "doc_id", "page")
     # at most 50 rows are numbered here
-    return top.select("doc_id", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "section", "doc_id")).alias("rank"))
+    return top.select("doc_id", "page", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "section", "doc_id", "page")).alias("rank"))
 
 
 @query("SELECT doc_id, rank, page, pages FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)), (SELECT 2 AS page, ceil(least(count(*), 50) / 20.0)::INT AS pages FROM documents) WHERE rank BETWEEN 21 AND 40")
@@ -179,8 +177,8 @@ def overlap_fallback(spark, sf_dir):
 # ---- keywords -----------------------------------------------------------------------------
 TFIDF = "WITH " + TERMS_SQL + """, c AS (SELECT doc_id, term, count(*) AS c, min(pos) AS first FROM words GROUP BY 1, 2),
 n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), t AS (SELECT count(*) AS total FROM n),
-s AS (SELECT c.doc_id, c.term, first, round(c.c / n.n::DOUBLE * (ln((1 + total) / (1 + df)::DOUBLE) + 1), 9) AS score FROM c JOIN n USING (doc_id) JOIN d USING (term), t),
-r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first)::INT AS rank, term, score FROM s)
+s AS (SELECT c.doc_id, c.term, first, c.c / n.n::DOUBLE * (ln((1 + total) / (1 + df)::DOUBLE) + 1) AS score FROM c JOIN n USING (doc_id) JOIN d USING (term), t),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first)::INT AS rank, term, round(score, 9) AS score FROM s)
 """
 
 
@@ -199,37 +197,45 @@ def keyword_search_rank(spark, sf_dir):
     return keywords.keyword_search(keywords.tfidf(read(spark, sf_dir, "documents"), 12), "on", top_k=3, percent=-1, ranker="rank")
 
 
-@query("WITH " + TERMS_SQL + """, p AS (SELECT t[i] AS "left", t[i + 1] AS "right" FROM (SELECT t, unnest(range(1, len(t))) AS i FROM listed)),
-pc AS (SELECT "left", "right", count(*) AS n FROM p GROUP BY 1, 2), c AS (SELECT term, count(*) AS c FROM words GROUP BY 1),
-z AS (SELECT (SELECT count(*) FROM words)::DOUBLE AS tokens, (SELECT count(*) FROM p)::DOUBLE AS bigrams),
-s AS (SELECT pc.*, ln(n / bigrams / ((a.c / tokens) * (b.c / tokens))) AS pmi, sqrt((a.c / tokens) * (b.c / tokens)) AS pr FROM pc JOIN c a ON a.term = "left" JOIN c b ON b.term = "right", z WHERE n >= 10)
+@query("WITH " + TERMS_SQL.replace("words AS (", "words AS MATERIALIZED (") + """, p AS (SELECT term AS "left", lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS "right" FROM words),
+pc AS MATERIALIZED (SELECT "left", "right", count(*) AS n FROM p WHERE "right" IS NOT NULL GROUP BY 1, 2), c AS MATERIALIZED (SELECT term, count(*) AS c FROM words GROUP BY 1),
+z AS MATERIALIZED (SELECT (SELECT sum(c) FROM c)::DOUBLE AS tokens, (SELECT sum(n) FROM pc)::DOUBLE AS bigrams),
+s AS (SELECT pc.*, ln(n / bigrams / ((a.c / tokens) * (b.c / tokens))) AS pmi, sqrt((a.c / tokens) * (b.c / tokens)) AS pr FROM (SELECT * FROM pc WHERE n >= 10) pc JOIN c a ON a.term = "left" JOIN c b ON b.term = "right", z)
 SELECT "left", "right", n, round(pmi, 6) AS pmi, round(pmi * ln(1 + n) / (1 + greatest(-log2(pr), 0)), 6) AS score FROM s WHERE pmi > 0""")
 def bigram_pmi(spark, sf_dir):
     return keywords.neighbour_pmi(read(spark, sf_dir, "documents"), 10)
 
 
-SURPRISE = "WITH " + TERMS_SQL + """, pr AS (SELECT term, count(*) / (SELECT count(*) FROM words)::DOUBLE AS p FROM words GROUP BY 1),
-s AS (SELECT doc_id, term, pos, -log2(greatest(p, 1e-300)) AS s FROM words JOIN pr USING (term)),
+UNCOVERED = """, runs AS (SELECT a.doc_id, a.pos AS lo, b.pos AS hi, string_agg(c.term, '' ORDER BY c.pos) AS joined FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 JOIN words c ON c.doc_id = a.doc_id AND c.pos BETWEEN a.pos AND b.pos GROUP BY 1, 2, 3),
+hit AS (SELECT r.* FROM runs r SEMI JOIN words w ON w.doc_id = r.doc_id AND w.term = r.joined)"""
+
+
+def surprise_sql(words: str) -> str:
+    return "WITH " + TERMS_SQL + UNCOVERED + f""", pr AS (SELECT term, count(*) / (SELECT count(*) FROM words)::DOUBLE AS p FROM words GROUP BY 1),
+s AS (SELECT doc_id, term, pos, -log2(greatest(p, 1e-300)) AS s FROM {words} JOIN pr USING (term)),
 m AS (SELECT doc_id, term, count(*) AS n, min(pos)::INT AS first, round(sum(s), 6) AS total, round(avg(s), 6) AS mean, round(sum(s) / greatest(log2(count(*) + 1), 1e-12), 6) AS granularity,
-  round(sum(s * s), 6) AS square, round(max(s), 6) AS most, round(count(*) * count(*) / sum(1 / greatest(s, 1e-12)), 6) AS harmonic FROM s GROUP BY 1, 2)
+  round(sum(s * s), 6) AS square, round(max(s), 6) AS most, round(count(*) * count(*) / sum(1 / greatest(s, 1e-12)), 6) AS harmonic,
+  CASE WHEN sum(ln(greatest(s, 1e-300))) <= 709.78 THEN round(sum(ln(greatest(s, 1e-300))), 4) END AS ln_product, CASE WHEN sum(ln(1 + s)) <= 709.78 THEN round(sum(ln(1 + s)), 4) END AS ln_product1 FROM s GROUP BY 1, 2)
 """
 
 
-@query(SURPRISE + "SELECT * FROM m")
+@query(surprise_sql("words") + "SELECT * FROM m")
 def surprise_metrics(spark, sf_dir):
-    w = keywords.terms(read(spark, sf_dir, "documents"))
-    return keywords.surprise(w, keywords.unigram_probability(w)).drop("product", "product1")
+    c = keywords.term_counts(read(spark, sf_dir, "documents"))
+    m = keywords.surprise(c, keywords.unigram_probability(c))
+    # an infinite product has no logarithm here
+    ln = lambda x: F.when(F.col(x) < float("inf"), F.round(F.log(x), 4))
+    return m.withColumns({"ln_product": ln("product"), "ln_product1": ln("product1")}).drop("product", "product1", "row")
 
 
-@query(SURPRISE + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY square DESC, granularity DESC, first, term) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY granularity DESC, square DESC, first, term) AS b FROM m),
+@query(surprise_sql("(SELECT * FROM words w ANTI JOIN hit h ON h.doc_id = w.doc_id AND w.pos BETWEEN h.lo AND h.hi)") + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY square DESC, granularity DESC, first, term) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY granularity DESC, square DESC, first, term) AS b FROM m),
 f AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY a + b, a, b, term)::INT AS rank FROM r) SELECT doc_id, rank, term FROM f WHERE rank <= 12""")
 def surprise_fusion(spark, sf_dir):
-    w = keywords.terms(read(spark, sf_dir, "documents"))
-    return keywords.fuse(keywords.surprise(w, keywords.unigram_probability(w)), 12)
+    d = read(spark, sf_dir, "documents")
+    return keywords.fuse(keywords.surprise(keywords.term_counts(d, 24), keywords.unigram_probability(keywords.term_counts(d))), 12)
 
 
-@query("WITH " + TERMS_SQL + """, runs AS (SELECT a.doc_id, a.pos AS lo, b.pos AS hi, string_agg(c.term, '' ORDER BY c.pos) AS joined FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 JOIN words c ON c.doc_id = a.doc_id AND c.pos BETWEEN a.pos AND b.pos GROUP BY 1, 2, 3),
-hit AS (SELECT r.* FROM runs r SEMI JOIN words w ON w.doc_id = r.doc_id AND w.term = r.joined)
+@query("WITH " + TERMS_SQL + UNCOVERED + """
 SELECT w.doc_id, count(*) AS n, sum(w.pos)::BIGINT AS positions FROM words w ANTI JOIN hit h ON h.doc_id = w.doc_id AND w.pos BETWEEN h.lo AND h.hi GROUP BY 1""")
 def covered_subwords(spark, sf_dir):
     w = keywords.uncovered(keywords.terms(read(spark, sf_dir, "documents")))
@@ -239,7 +245,7 @@ def covered_subwords(spark, sf_dir):
 # ---- catalogs and trees -------------------------------------------------------------------
 M = sql("markers")
 KEY = r"regexp_replace(regexp_replace(lower({}), '\s+', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_]', '', 'g')"
-RANGES = f"""SELECT doc, ord, regexp_replace(trim(title), '^#\\s*', '') AS title, page AS start, greatest(page, coalesce((SELECT arg_min(n.page, n.ord) FROM {M} n WHERE n.doc = m.doc AND n.ord > m.ord AND n.level <= m.level AND n.page IS NOT NULL) - 1, 12)) AS "end", level FROM {M} m WHERE page > 0 AND title <> ''"""
+RANGES = f"""SELECT doc, ord, regexp_replace(trim(title), '^#\\s*', '') AS title, page AS start, greatest(page, coalesce((SELECT arg_min(n.page, n.ord) FROM {M} n WHERE n.doc = m.doc AND n.ord > m.ord AND n.level <= m.level AND n.page IS NOT NULL) - 1, 12)) AS "end", least(level, 6) AS level FROM {M} m WHERE page > 0 AND title <> ''"""
 
 
 @query(RANGES)
@@ -356,11 +362,11 @@ def section_routing(spark, sf_dir):
     return vectors.route_by_section(_hits(spark, sf_dir), "label", 5).select("vec_id", "label", "score")
 
 
-@query(f"WITH k AS (SELECT *, round(exp(-distance), 6) AS score FROM ({KNN})), s AS (SELECT label, max(score) AS ss FROM k GROUP BY label) SELECT doc_id, round(coalesce(ss, 0) + CASE WHEN contains(lower(text), 'tion') THEN 0.2 ELSE 0 END, 6) AS score FROM documents JOIN embeddings ON vec_id = doc_id LEFT JOIN s USING (label)")
+@query(f"WITH k AS (SELECT *, round(exp(-distance), 6) AS score FROM ({KNN})), s AS (SELECT label, max(score) AS ss FROM k GROUP BY label) SELECT doc_id, round(coalesce(ss, 0) + CASE WHEN contains(lower(text), 'tion') THEN 0.2 ELSE 0 END, 6) AS score FROM documents LEFT JOIN embeddings ON vec_id = doc_id LEFT JOIN s USING (label)")
 def vector_boost(spark, sf_dir):
     scores = vectors.section_scores(_hits(spark, sf_dir), "label")
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    d = read(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id").join(F.broadcast(scores), "label", "left")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id", "left").join(F.broadcast(scores), "label", "left")
     none = F.lit(None).cast("double")
     return d.select("doc_id", F.round(vectors.boosted_score(F.col("section_score"), none, none, F.lit("tion"), F.col("text")), 6).alias("score"))
 
@@ -373,7 +379,7 @@ def multi_db_merge(spark, sf_dir):
     return vectors.merge_sources(e.select("vec_id", (F.col("vec_id") % 3).cast("int").alias("db"), score.alias("score")), "db", 5, "vec_id")
 
 
-@query()
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, {DIST} AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 10")
 def ivf_probe(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     cells, centres = vectors.clustered(e, 16)
@@ -387,16 +393,22 @@ def answer_gate(spark, sf_dir):
 
 
 # ---- web and references -------------------------------------------------------------------
-LINK = r"""<a href="([^"]*)"[^>]*>(.*?)</a>"""
+LINK = r"""<a href="(?P<link>[^"]*)"[^>]*>(?P<title>.*?)</a>(?P<snippet>[^<]*)"""
+_SQL_LINK = r"""(?is)<a href="([^"]*)"[^>]*>(.*?)</a>([^<]*)"""
+_PLAIN = "trim(replace(replace(replace(replace(regexp_replace({}, '<.*?>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))"
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 1) AS l, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
-r AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS link, unnest(t) AS t FROM a), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS k FROM r WHERE trim(link) <> '')
-SELECT page_id, link, CASE WHEN trim(regexp_replace(t, '<.*?>', '', 'g')) = '' THEN link ELSE trim(regexp_replace(t, '<.*?>', '', 'g')) END AS title FROM f WHERE k = 1""")
+@query(rf"""WITH h AS (SELECT page_id, replace(html, 'href="/', 'href="https://' || regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':.*$', ''), '^www\.', '') || '/') AS html FROM pages),
+a AS (SELECT page_id, regexp_extract_all(html, '{_SQL_LINK}', 1) AS l, regexp_extract_all(html, '{_SQL_LINK}', 2) AS t, regexp_extract_all(html, '{_SQL_LINK}', 3) AS s FROM h),
+r AS (SELECT page_id, unnest(range(len(l))) AS i, unnest(l) AS link, unnest(t) AS t, unnest(s) AS s FROM a),
+f AS (SELECT page_id, i, trim({_PLAIN.format('link')}) AS link, {_PLAIN.format('t')} AS title, {_PLAIN.format('s')} AS snippet FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS k FROM f WHERE regexp_matches(link, '^https?://')), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS "at" FROM k WHERE k = 1)
+SELECT page_id, "at", link, CASE WHEN title = '' THEN link ELSE title END AS title, snippet FROM n WHERE "at" <= 10""")
 def html_records(spark, sf_dir):
-    r = read(spark, sf_dir, "pages").select("page_id", F.posexplode(web.records(F.col("html"), LINK)).alias("i", "r")).select("page_id", "i", "r.*")
-    w = Window.partitionBy("page_id", "link").orderBy("i")
-    return r.withColumn("k", F.row_number().over(w)).where("k = 1").select("page_id", "link", "title")
+    p = read(spark, sf_dir, "pages")
+    # the pages' links are relative to their hosts
+    base = F.concat(F.lit('href="https://'), web.domain(F.col("url")), F.lit("/"))
+    return web.records(p.select("page_id", F.replace("html", F.lit('href="/'), base).alias("html")), LINK)
 
 
 @query(r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<.*?>', '', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages")
@@ -419,7 +431,10 @@ def mask_links(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.masked_link(F.col("url"), F.lit(1), F.col("page_id") + 1).alias("masked"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS base, regexp_extract(url, '[?]([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS frag FROM pages),
+p AS (SELECT page_id, base, frag, list_filter(string_split(q, '&'), lambda x: contains(x, '=')) AS ps FROM u),
+n AS (SELECT *, list_transform(ps, lambda x: CASE WHEN starts_with(x, 'page=') THEN 'page=9' ELSE x END) AS qs FROM p)
+SELECT page_id, base || '?' || array_to_string(CASE WHEN list_contains(qs, 'page=9') THEN qs ELSE list_append(qs, 'page=9') END, '&') || CASE WHEN length(frag) > 1 THEN frag ELSE '' END AS url FROM n""")
 def set_url_parameter(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.set_query_parameter(F.col("url"), "page", "9").alias("url"))
 
@@ -431,15 +446,15 @@ def ref_accessor(spark, sf_dir):
 
 
 # ---- sessions, jobs, tables ---------------------------------------------------------------
-@query("SELECT user_id AS session, event_type AS tool, count(*) AS calls FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS session, event_type AS tool, count(*) AS calls FROM events WHERE value >= 20 GROUP BY 1, 2")
 def tool_usage_counts(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("tool"), F.lit(True).alias("ended"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("tool"), (F.col("value") >= 20).alias("ended"))
     return sessions.usage_counts(e)
 
 
-@query("SELECT user_id AS session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 2")
+@query("SELECT user_id AS session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE value >= 20) WHERE n = 2")
 def nth_call(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_id", F.col("event_id").alias("ord"), F.lit(True).alias("ended"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_id", F.col("event_id").alias("ord"), (F.col("value") >= 20).alias("ended"))
     return sessions.nth_call(e, -2).select("session", "event_id")
 
 
@@ -481,11 +496,12 @@ def job_fold(spark, sf_dir):
     return sessions.job_progress(rows)
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 OR doc_id >= 500")
+@query("SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'stored' ELSE 'new' END AS origin FROM documents")
 def append_if_absent(spark, sf_dir):
+    """The documents that have labels are stored already; all documents come in."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    old = d.where("doc_id % 3 = 0")
-    return old.unionByName(store.insert_if_absent(old, d.where("doc_id >= 500")))
+    stored = d.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("origin", F.lit("stored"))
+    return stored.unionByName(store.insert_if_absent(stored, d.withColumn("origin", F.lit("new"))))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS source FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -48,3 +48,21 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(folder, "tessella"), "zip", ROOT, "tessella")
     sc.addPyFile(archive)
     sc._tessella_shipped = True
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir, which executors share; it survives their loss.
+
+    Only a session on one machine that names no such folder gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = "file://" + tempfile.mkdtemp(prefix="tessella-checkpoints-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

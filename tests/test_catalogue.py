@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tessella.plans.catalogue import ORACLE_SQL, QUERIES
+from tessella.plans import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessella.plans.catalogue import QUERIES
+from tessella.plans import QUERIES
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
