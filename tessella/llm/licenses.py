@@ -1,13 +1,13 @@
 """Licence scans by a positional rare-token index.
 
-Every licence is given by templates: notices of a few words up to a sentence, each with phrases that
-must occur. The index maps the templates' words to postings (template, position). Document
-frequencies of these words are counted over all documents, so a word's IDF tells how well it
-discriminates here. In a document, the occurrences of the highest-IDF words of each template are
-looked up; each posting gives a relative position, document position less template position, and
-positions where enough of a template's rare words agree are candidates. A candidate counts when the
-template's mandatory phrases stand word by word where the alignment says, or, for the base phrases,
-the whole template does.
+Every licence is given by templates: notices of a few words, and sentences of the licences' bodies,
+each with phrases that must occur. The index maps the templates' words to postings (template,
+position). Document frequencies of these words are counted over all documents, so a word's IDF tells
+how well it discriminates here. Of a document's licence words, the highest-IDF ones are looked up for
+each template whose mandatory words it has; each posting gives a relative position, document position
+less template position, and positions where enough of the template's rare weight agrees are
+candidates. A candidate counts when the template's mandatory phrases stand word by word where the
+alignment says, or, for the base phrases, the whole template does.
 """
 
 from __future__ import annotations
@@ -52,8 +52,31 @@ NOTICES = [
     ("cc0", "cc0 1 0 universal public domain dedication", ["public domain dedication"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
+    # sentences of the bodies
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["shall be included in all copies"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", ["the software is provided as is"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["must retain the above copyright notice"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", ["must reproduce the above copyright notice"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", ["to endorse or promote products"]),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ["required by applicable law or agreed to in writing"]),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", ["perpetual worldwide non exclusive no charge royalty free"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", ["in the hope that it will be useful"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["gnu general public license along with"]),
+    ("gpl", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works", ["to take away your freedom to share and change"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["lesser general public license along with"]),
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network", ["interacting with it remotely through a computer network"]),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["in no event will the authors be held liable"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["must be plainly marked as such"]),
+    ("bsl", "boost software license version 1 0", ["boost software license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("wtfpl", "do what the fuck you want to public license", ["you want to public license"]),
+    ("cc-by-nc", "creative commons attribution noncommercial", ["attribution noncommercial"]),
+    ("cc-by-nd", "creative commons attribution noderivatives", ["attribution noderivatives"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form", ["free to copy modify publish use compile sell"]),
 ]
-#: Rare words of a template that are looked up, and the share of them that must agree.
+#: Words that are looked up for a template, and the share of its rarest words' weight that must agree.
 ANCHORS, AGREE = 4, 0.5
 
 
@@ -83,41 +106,48 @@ def templates() -> list[Template]:
 
 
 class Index:
-    """Templates and, for their rarest words, postings and IDF."""
+    """Templates, postings of all their words, and IDF."""
 
     def __init__(self, docs_with: dict[bytes, int], n_docs: int):
         self.templates = templates()
-        idf = lambda w: math.log((n_docs + 1) / (docs_with.get(w, 0) + 1)) + 1
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.weight: list[float] = []  # of all anchors of a template
-        self.idf: dict[bytes, float] = {}
-        for t, x in enumerate(self.templates):
-            rare = sorted(set(x.words), key=lambda w: (-idf(w), w))[:ANCHORS]
-            if x.base:
-                rare = rare[:1]  # every place has it, so its postings alone find them all
-            total = 0.0
+        self.idf = {w: math.log((n_docs + 1) / (docs_with.get(w, 0) + 1)) + 1 for x in self.templates for w in x.words}
+        self.by_rarity: list[list[bytes]] = []  # of each template, its words
+        self.places: list[dict[bytes, list[int]]] = []  # of each template, its words' positions
+        self.weight: list[float] = []  # of each template, its rarest words' weight
+        self.needs: list[frozenset[bytes]] = []  # of each template, the words of its mandatory phrases
+        for x in self.templates:
+            places: dict[bytes, list[int]] = {}
             for p, w in enumerate(x.words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((t, p))
-                    self.idf[w] = idf(w)
-                    total += idf(w)
-            self.weight.append(total)
-
-    def __getstate__(self):
-        return self.__dict__
+                places.setdefault(w, []).append(p)
+            rare = sorted(places, key=lambda w: (-self.idf[w], w))
+            self.by_rarity.append(rare)
+            self.places.append(places)
+            # every place of a base phrase has all its words, so its rarest one finds them all
+            self.weight.append(sum(self.idf[w] * len(places[w]) for w in rare[: 1 if x.base else ANCHORS]))
+            self.needs.append(frozenset(w for _, phrase in x.phrases for w in phrase))
 
     def scan(self, w: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, place of its first word, share of its rare words' weight that agrees), verified."""
+        """(template, place of its first word, share of its rarest words' weight that agrees), verified."""
+        own = set(w)
+        open_ = [t for t, need in enumerate(self.needs) if need <= own]
+        if not open_:
+            return []
+        asked: dict[bytes, list[int]] = {}  # word to the templates that it's looked up for
+        for t in open_:
+            here = [x for x in self.by_rarity[t] if x in own]
+            for x in here[: 1 if self.templates[t].base else ANCHORS]:
+                asked.setdefault(x, []).append(t)
         votes: Counter = Counter()
-        for i in [i for i, x in enumerate(w) if x in self.postings]:
-            for t, p in self.postings[w[i]]:
-                votes[t, i - p] += self.idf[w[i]]
+        for i, x in enumerate(w):
+            for t in asked.get(x, ()):
+                for p in self.places[t][x]:
+                    votes[t, i - p] += self.idf[x]
         found = []
         for (t, at), v in votes.items():
-            x, share = self.templates[t], v / self.weight[t]
+            share = min(1.0, v / self.weight[t])
             if share < AGREE:
                 continue
-            for offset, phrase in x.phrases:
+            for offset, phrase in self.templates[t].phrases:
                 a = at + offset
                 if a < 0 or w[a : a + len(phrase)] != phrase:
                     break

@@ -51,3 +51,38 @@ def test_places_do_not_depend_on_frequencies(counts):
     for t in ODD:
         found = index.scan(L.words(t))
         assert sum(index.templates[x].base for x, _, _ in found) == brute(t)[1]
+
+
+def brute_labels(text, index):
+    """Labels and score from the definition: every template at every place."""
+    w = L.words(text)
+    labels, score = set(), 0.0
+    for t in index.templates:
+        rare = sorted(set(t.words), key=lambda x: (-index.idf[x], x))
+        n = 1 if t.base else L.ANCHORS
+        total = sum(index.idf[x] for x in t.words if x in rare[:n])
+        looked = [x for x in rare if x in w][:n]
+        for at in range(-len(t.words), len(w)):
+            agree = sum(index.idf[x] for p, x in enumerate(t.words) if x in looked and 0 <= at + p < len(w) and w[at + p] == x)
+            whole = all(at + o >= 0 and w[at + o : at + o + len(p)] == p for o, p in t.phrases)
+            if whole and min(1, agree / total) >= L.AGREE:
+                labels.add(t.label)
+                score = max(score, min(1, agree / total))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_equal_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(ODD) if t is None or len(t) < 5000]
+    notices = [n for _, n, _ in L.NOTICES]
+    rows += [(100 + i, n) for i, n in enumerate(notices)]
+    rows += [(200 + i, "some words before. " + " ".join(x for j, x in enumerate(n.split()) if j % 9 != 8) + " and after") for i, n in enumerate(notices)]
+    rows += [(300, " ".join(notices)), (301, " ".join(reversed(" ".join(notices).split())))]
+    rows += [(400 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '(?i)licen[sc]e|copyright|cc by'").limit(30).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = L.fit(df)
+    by = {r.doc_id: r for r in L.scan(df, index).collect()}
+    for i, t in rows:
+        labels, score = brute_labels(t, index)
+        assert by[i].labels == labels and abs(by[i].score - score) < 1e-9, t
+    for i, (label, _, _) in enumerate(L.NOTICES):
+        assert label in by[100 + i].labels.split(",")
