@@ -7,7 +7,8 @@ least hash and breaks ties to the right, and the position stays with the hash. M
 come by doubling too, so a window costs log2(WINDOW) steps per gram and not WINDOW.
 
 Whatever two texts share in a run of K + WINDOW - 1 words leaves a common fingerprint; a shared run
-of fewer than K words leaves none.
+of fewer than K words leaves none. Words are runs of ASCII letters, digits and all signs above ASCII;
+in scripts without blanks between words (Han, Kana, Thai and the like) every sign is a word.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tessella.llm.common import Scratch, table
 K, WINDOW = 4, 16
 POSITION_BITS = 27
 LAST = (1 << POSITION_BITS) - 1
+#: Signs of scripts that are written without blanks: each is a word by itself.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: Anything but ASCII letters and digits and what lies above ASCII separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Ranges of the identifier order in which neighbours are found, beside one per so many rows.
@@ -38,7 +41,9 @@ def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     Null and wordless texts have none; a text of fewer than K words has one, of all its words.
     """
     w, n = f"_{out}_w", f"_{out}_n"
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
+    words = F.array_remove(F.split(F.lower(t), SEPARATORS), "")
     df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x))).withColumn(n, F.size(w))
     gap = 1
     while gap < K:

@@ -2,12 +2,14 @@ import hashlib
 import re
 
 import pytest
+import regex
 
 from tessella.llm import winnowing as W
 from tests.conftest import SF
 
 
 def words(t):
+    t = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])", r" \1 ", t)
     return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if w]
 
 
@@ -21,7 +23,7 @@ def brute(text):
 
 def test_choice_equals_definition(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
-    texts += ["", "a", "a b", "a b c d e", "x " * 100, "lorem ipsum " * 30]
+    texts += ["", "a", "a b", "a b c d e", "x " * 100, "lorem ipsum " * 30, "这是一个没有空格的文本，" * 20 + "第二句话abc说明", "ภาษาไทยไม่มีช่องว่าง" * 9, "한국어 문장 は 日本語テキスト" * 8]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in W.fingerprint(df).collect()}
     # every gram's hash, from windows of one gram
@@ -65,6 +67,39 @@ def test_query_equals_brute_force(spark):
     assert sum(r.near_edited for r in long) / len(long) > 0.25 > 0.1 > sum(r.near_next for r in long) / len(long)
 
 
+def chosen(hash_of, w):
+    """Hashes that winnowing chooses, from the hash of each gram."""
+    grams = [tuple(w[i : i + W.K]) for i in range(max(1, len(w) - W.K + 1))] if w else []
+    out = set()
+    for a in range(max(1, len(grams) - W.WINDOW + 1) if grams else 0):
+        out.add(min(hash_of[g] for g in grams[a : a + W.WINDOW]))
+    return out
+
+
+def test_likeness_equals_brute_force(spark, monkeypatch):
+    """near_edited and near_next from each gram's hash (got with windows of one) and the definition."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(30).collect()] + ["", "a b", "没有空格" * 40, "没有空格" * 39]
+    rows = sorted(enumerate(texts), reverse=True)
+    got = {r.doc_id: r for r in W.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edited = {}
+    for i, (d, t) in enumerate(rows):
+        half = len(t) // 2
+        edited[d] = t[: len(t) - half] + rows[(i + 1) % len(rows)][1][:half]
+    every = [*texts, *edited.values()]
+    monkeypatch.setattr(W, "WINDOW", 1)
+    hash_of = {}
+    for r in W.fingerprint(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect():
+        w = words(every[r.doc_id])
+        for p, g in zip(r.positions, r.grams):
+            hash_of[tuple(w[p : p + W.K])] = g >> W.POSITION_BITS
+    monkeypatch.undo()
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for i, (d, t) in enumerate(rows):
+        own, after = chosen(hash_of, words(t)), chosen(hash_of, words(rows[(i + 1) % len(rows)][1]))
+        assert abs(got[d].near_edited - like(own, chosen(hash_of, words(edited[d])))) < 1e-12
+        assert abs(got[d].near_next - like(own, after)) < 1e-12
+
+
 def test_native_plan(spark):
     plan = W.op9_winnowing(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
