@@ -37,6 +37,8 @@ MAGIC = b"TSSTBL01"
 FOOTER = struct.Struct("<QQQQQQIIII8s")  # index, bloom: offset, length; keys, ids; blocks, probes, width, crc; magic
 ROW = struct.Struct("<HQIIQ")  # key length, offset, stored length, entries, ids before
 BITS_PER_KEY, PROBES = 10, 7
+#: A shard is closed at about this size, and the next one of its task is begun.
+SHARD_BYTES = 256 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -153,7 +155,7 @@ class Reader:
         data = self._range(at, size + bloom_size)
         if zlib.crc32(data) != crc:
             raise ValueError(f"damaged shard: {uri}")
-        self.bloom = np.unpackbits(np.frombuffer(data[size:], np.uint8))
+        self.bloom = np.frombuffer(data[size:], np.uint8)
         self.rows, self.firsts, p = [], [], 0
         for _ in range(blocks):
             n, *row = ROW.unpack_from(data, p)
@@ -188,7 +190,8 @@ class Reader:
             yield from self.block(i)
 
     def may_have(self, key: bytes) -> bool:
-        return bool(self.bloom[_bloom_bits([key], len(self.bloom)).ravel().astype(np.int64)].all())
+        at = _bloom_bits([key], 8 * len(self.bloom)).ravel().astype(np.int64)
+        return bool((self.bloom[at >> 3] >> (7 - (at & 7)) & 1).all())
 
     def get(self, key: bytes) -> list[bytes]:
         """Values under a key; several where the identifier was repeated."""
@@ -205,41 +208,43 @@ class Reader:
         self.file.close()
 
 
-MANIFEST = "shard int, path string, first binary, last binary, n_docs long, n_ids long"
+MANIFEST = "shard long, path string, first binary, last binary, n_docs long, n_ids long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode and write all documents; returns the manifest, a row per shard in key order.
 
     docs: doc_id, text (other columns are ignored). Null text is empty; null identifiers sort first;
     repeated identifiers are all kept, next to each other, in the order of their texts' hashes.
-    An empty table gives an empty manifest. Range partitioning sets the shards, so no task sees more
-    than its range, and repeated identifiers are spread by hash and row.
+    An empty table gives an empty manifest. Tasks are ranges of the order, by which repeated identifiers
+    are spread by hash and row; a task closes a shard at shard_bytes and begins another, so what it holds
+    of a shard (keys, index, filter) doesn't follow the range's size. The order is total, so a task that
+    runs twice writes equal files.
     """
 
     def write(batches):
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else int(end_id).to_bytes(enc.width, "little")
-        path, w, first = f"{folder}/shard-{shard:06d}.sst", None, b""
         batches = (b for b in batches if b.num_rows)
         head = next(batches, None)
-        if head is None:
-            return
-        with atomic_output(path) as file:
-            w = Writer(file, enc.width)
-            while head is not None:
-                keys = [key_of(i) for i in head.column(0).to_pylist()]
-                first = first if w.keys else keys[0]
-                for key, ids in zip(keys, enc.encode_many([t or "" for t in head.column(1).to_pylist()]), strict=True):
-                    w.add(key, ids + end)
-                head = next(batches, None)
-            w.finish()
-        yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "path": path, "first": first, "last": w.keys[-1], "n_docs": len(w.keys), "n_ids": w.ids}],
-            pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
-        )
+        while head is not None:
+            path, first = f"{folder}/shard-{part:06d}-{number:04d}.sst", None
+            with atomic_output(path) as file:
+                w = Writer(file, enc.width)
+                while head is not None and w.at < shard_bytes:
+                    keys = [key_of(i) for i in head.column(0).to_pylist()]
+                    first = keys[0] if first is None else first
+                    for key, ids in zip(keys, enc.encode_many([t or "" for t in head.column(1).to_pylist()]), strict=True):
+                        w.add(key, ids + end)
+                    head = next(batches, None)
+                w.finish()
+            yield pa.RecordBatch.from_pylist(
+                [{"shard": part << 20 | number, "path": path, "first": first, "last": w.keys[-1], "n_docs": len(w.keys), "n_ids": w.ids}],
+                pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
+            )
+            number += 1
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
     ranged = (

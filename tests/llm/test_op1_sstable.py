@@ -40,6 +40,17 @@ def test_edges_and_lookup(spark, rows):
     assert sstable.lookup(manifest, 4) == []
 
 
+def test_shards_are_closed_at_a_size(spark):
+    rows = [(i * 7 % 2503, f"text number {i} " * (i % 5)) for i in range(2503)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    manifest = sstable.write_shards(df, PATH, 1, new_folder(spark, "t"), shard_bytes=1)
+    parts = manifest.orderBy("shard").collect()
+    assert len(parts) > df.rdd.getNumPartitions() and all(a["last"] <= b["first"] for a, b in zip(parts, parts[1:]))
+    got = sorted((r.doc_id, r.start, len(r.ids) // r.width, zlib.crc32(sstable.le32(r.ids, r.width))) for r in sstable.read_shards(manifest).collect())
+    assert got == sorted(brute(rows))
+    assert len(sstable.lookup(manifest, 1000)) == 1
+
+
 def test_shard_file_round_trip(tmp_path):
     path = str(tmp_path / "a.sst")
     keys = [sstable.key_of(i * 3) for i in range(-500, 500)]
