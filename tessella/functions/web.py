@@ -42,6 +42,16 @@ def normalise_url(c: Column) -> Column:
     return F.when(t.rlike("(?i)^https?://"), t).when(bare, F.concat(F.lit("https://"), t)).otherwise(t)
 
 
+def direct_url(c: Column, marked: Column) -> Column:
+    """struct(url, direct): the normalised URL, and whether it came as such: it is one, and isn't marked as a reference's result.
+
+    marked: how many marks the normalised URL has (see mark_counts); null for none.
+    """
+    url = normalise_url(c)
+    direct = url.rlike("(?i)^https?://") & (F.coalesce(marked, F.lit(0)) <= 0)
+    return F.struct(url.alias("url"), direct.alias("direct"))
+
+
 def set_query_parameter(c: Column, key: str, value: str) -> Column:
     """The URL with each `key` of its query set to value, or with the pair added."""
 

@@ -123,3 +123,24 @@ def best_tier(names: DataFrame, query: str) -> DataFrame:
     found = names.withColumn("tier", tier).where(F.col("tier").isNotNull())
     least = found.agg(F.min("tier").alias("least"))
     return found.join(F.broadcast(least)).where("tier = least").drop("least")
+
+
+def page_states(commands: DataFrame, size: int) -> DataFrame:
+    """(session, ord, command, page, ok) of paging commands (session, ord, command, results): the page that each leads to.
+
+    A session begins on page 1 of ceil(results / size) pages; a command that isn't one changes nothing. Each
+    step needs the one before it, so a session's commands are folded in one row.
+    """
+    pages = F.greatest(F.lit(1), F.ceil(F.col("results") / size).cast("int"))
+    row = F.struct("ord", "command", pages.alias("pages"))
+    lists = commands.groupBy("session").agg(F.array_sort(F.collect_list(row)).alias("l"))
+    none = F.array().cast("array<struct<ord:bigint,command:string,page:int,ok:boolean>>")
+
+    def step(s, c):
+        target = page_command(c["command"], s["page"], c["pages"])
+        page = F.coalesce(target, F.least(s["page"], c["pages"])).cast("int")
+        done = F.struct(c["ord"].cast("long").alias("ord"), c["command"].alias("command"), page.alias("page"), target.isNotNull().alias("ok"))
+        return F.struct(page.alias("page"), F.concat(s["out"], F.array(done)).alias("out"))
+
+    out = F.aggregate("l", F.struct(F.lit(1).alias("page"), none.alias("out")), step, lambda s: s["out"])
+    return lists.select("session", F.explode(out).alias("r")).select("session", "r.*")

@@ -94,3 +94,23 @@ def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, prob
     top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     both = near.unionByName(found(rest)).withColumn("_at", F.row_number().over(top))
     return both.where(F.col("_at") <= k).select("query_id", "vec_id", "distance")
+
+
+def hash_embedding(text: Column, size: int = 1536) -> Column:
+    """A vector made of the text alone, where no model answers: bytes of a chain of SHA-256 hashes, from -1 to 1."""
+    links = -(-size // 32)
+    first = F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256)
+    start = F.struct(first.alias("h"), F.lit("").alias("all"))
+
+    def link(s, _):
+        h = F.sha2(F.unhex(s["h"]), 256)
+        return F.struct(h.alias("h"), F.concat(s["all"], h).alias("all"))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(links)), start, link, lambda s: s["all"])
+    byte = lambda i: F.conv(F.substring(chain, i * 2 + 1, 2), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(i) / 255.0 * 2.0 - 1.0)
+
+
+def document_scores(hits: DataFrame) -> DataFrame:
+    """(doc_id, score) of hits (doc_id, section_id, score): the best section's."""
+    return hits.where("doc_id is not null").groupBy("doc_id").agg(F.max("score").alias("score"))

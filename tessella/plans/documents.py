@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import markdown, mathematics, nested, text
-from tessella.operators import alignment, answers, catalog, keywords, retrieval, segmentation, sessions, store, trees, vectors
+from tessella.functions import markdown, mathematics, nested, text, web
+from tessella.operators import alignment, answers, catalog, keywords, layout, retrieval, segmentation, sessions, store, trees, vectors
 from tessella.operators.chunking import chunks
 from tessella.plans.catalogue import CHUNK_SQL, DIST, KEY, ROWS_SQL, TFIDF, query, read
 
@@ -363,3 +363,38 @@ def rendered_pages(spark, sf_dir):
     none = F.array().cast("array<struct<title:string,level:int>>")
     md = markdown.render(F.col("text"), none, F.lit(1), F.lit(0), F.array().cast("array<string>"))
     return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(md, "\n"), lambda x: text.strip(x) != "")).cast("long").alias("n"))
+
+
+# ---- small ones ----------------------------------------------------------------------------
+@query("WITH h AS (SELECT doc_id, sha256(unhex(sha256(coalesce(text, '')))) AS a FROM documents), c AS (SELECT doc_id, a || sha256(unhex(a)) AS all FROM h) SELECT doc_id, round(list_sum(list_transform(range(64), lambda i: (('0x' || substr(c.all, 2 * i + 1, 2))::INT) / 255.0 * 2 - 1)), 6)::DOUBLE AS total, round((('0x' || substr(c.all, 127, 2))::INT) / 255.0 * 2 - 1, 6)::DOUBLE AS last FROM c".replace(" AS all ", ' AS "all" ').replace("c.all", 'c."all"'))
+def hash_embeddings(spark, sf_dir):
+    e = read(spark, sf_dir, "documents").select("doc_id", vectors.hash_embedding(F.col("text"), 64).alias("e"))
+    return e.select("doc_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.element_at("e", -1), 6).alias("last"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), b AS (SELECT doc_id, i // 40 AS page, i, (i % 40) // 8 AS line, w, (i % 8) * 10 AS x0, ((i % 40) // 8) * 20 AS y0 FROM w),
+l AS (SELECT doc_id, page, line, string_agg(trim(w, E' \n\t'), ' ' ORDER BY i) FILTER (WHERE trim(w, E' \n\t') <> '') AS text, max(y0) + 10 AS y1, min(y0) AS y0 FROM b GROUP BY 1, 2, 3), h AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page) AS height FROM l WHERE text IS NOT NULL)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y0))::INT AS "at", md5(text) AS text_md5, CASE WHEN y1 <= height * 0.1 THEN 'header' WHEN y0 >= height * 0.9 THEN 'footer' ELSE 'body' END AS role FROM h""")
+def word_lines(spark, sf_dir):
+    i = F.col("i")
+    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    line = F.floor(i % 40 / 8)
+    boxes = w.select("doc_id", F.floor(i / 40).alias("page"), i.alias("ord"), F.lit(0).alias("block"), line.alias("line"), "text", (i % 8 * 10).alias("x0"), (line * 20).alias("y0"), (i % 8 * 10 + 9).alias("x1"), (line * 20 + 10).alias("y1"))
+    return layout.word_lines(boxes).select("doc_id", "page", "at", F.md5("text").alias("text_md5"), "role")
+
+
+@query("SELECT page_id, url, page_id % 3 <> 0 AS direct FROM pages")
+def direct_urls(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", web.direct_url(F.col("url"), F.when(F.col("page_id") % 3 == 0, 1)).alias("u")).select("page_id", "u.*")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id AS session, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (event_id % 7)::INT AS m FROM events),
+f AS (SELECT session, 0::BIGINT AS k, 1 AS page, 0::BIGINT AS event_id FROM (SELECT DISTINCT session FROM c)
+UNION ALL SELECT f.session, c.k, greatest(1, least(5, CASE m WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN f.page + 1 WHEN 3 THEN f.page - 2 WHEN 4 THEN 3 WHEN 5 THEN f.page ELSE f.page + 2 END))::INT, c.event_id FROM f JOIN c ON c.session = f.session AND c.k = f.k + 1)
+SELECT session, event_id AS ord, page, event_id % 7 <> 5 AS ok FROM f WHERE k > 0""")
+def page_states(spark, sf_dir):
+    m = (F.col("event_id") % 7).cast("int") + 1
+    command = F.element_at(F.array(*[F.lit(x) for x in ("first", "LAST", "+1", "-2", "3", "next", " +2 ")]), m)
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), command.alias("command"), F.lit(92).alias("results"))
+    return retrieval.page_states(e, 20).drop("command")

@@ -58,8 +58,42 @@ def docx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
+S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def xlsx_text(data: bytes) -> str:
+    """Text of a spreadsheet's first sheet: a line per row that has a value, cells between tabs."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
+            shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in root.iter(f"{S}si")]
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        rows = ElementTree.fromstring(z.read(sheet)).iter(f"{S}row")
+        out = []
+        for row in rows:
+            cells: dict[int, str] = {}
+            for i, c in enumerate(row.iter(f"{S}c")):
+                letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
+                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else i
+                v = c.find(f"{S}v")
+                kind = c.get("t")
+                if kind == "inlineStr":
+                    cells[at] = "".join(t.text or "" for t in c.iter(f"{S}t"))
+                elif v is not None and v.text:
+                    cells[at] = shared[int(v.text)] if kind == "s" else v.text
+            if any(x.strip() for x in cells.values()):
+                out.append("\t".join(cells.get(i, "") for i in range(max(cells) + 1)))
+        return "\n".join(out)
+
+
+#: Extension to reader of bytes.
+READERS = {"docx": docx_text, "xlsx": xlsx_text} | dict.fromkeys(PLAIN, lambda data: data.decode("utf-8", "ignore"))
+
+
 def load_documents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ext, text, error): plain files as UTF-8 without what isn't, word-processing files by their XML.
+    """(path, ext, text, error): plain files as UTF-8 without what isn't, word-processing files and spreadsheets by their XML.
 
     A file that can't be read has a null text and its error; other formats say that a reader is
     missing. Blank documents are dropped.
@@ -73,10 +107,8 @@ def load_documents(spark: SparkSession, root: str) -> DataFrame:
             out = []
             for path, kind, data in zip(f["path"], f["ext"], f["content"], strict=True):
                 try:
-                    if kind in PLAIN:
-                        out.append((path, kind, bytes(data).decode("utf-8", "ignore"), None))
-                    elif kind == "docx":
-                        out.append((path, kind, docx_text(bytes(data)), None))
+                    if kind in READERS:
+                        out.append((path, kind, READERS[kind](bytes(data)), None))
                     else:
                         out.append((path, kind, None, f"no reader for {kind}"))
                 except Exception as e:  # one damaged file must not end the load

@@ -33,6 +33,17 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o.json")).count() == 2
 
 
+def test_spreadsheets():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = '<row><c r="A1" t="s"><v>1</v></c><c r="C1"><v>2.5</v></c></row><row><c r="A2" t="inlineStr"><is><t> </t></is></c></row><row><c r="B3" t="inlineStr"><is><t>in</t></is></c></row>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {ns}><sheetData><row><c><v>9</v></c></row></sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    assert files.xlsx_text(data.getvalue()) == "one\t\t2.5\n\tin"
+
+
 def run(spark, df, mode="complete"):
     q = df.writeStream.format("memory").queryName("t").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
