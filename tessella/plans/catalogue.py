@@ -490,7 +490,7 @@ def job_fold(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kinds = e.select("event_type").distinct()
     kinds = kinds.withColumn("stage", F.element_at(F.array(*[F.lit(s) for s in _STAGES]), ((F.row_number().over(Window.orderBy("event_type")) - 1) % 5 + 1)))
-    rows = e.join(F.broadcast(kinds), "event_type").select(
+    rows = e.join(kinds, "event_type").select(
         F.col("user_id").alias("job"), F.when(F.col("stage") != "index_completed", F.col("event_id") % 7).alias("doc"), "stage"
     )
     return sessions.job_progress(rows)

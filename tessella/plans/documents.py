@@ -53,7 +53,15 @@ def marker_lines(spark, sf_dir):
     return trees.marker_hits(trees.text_markers(p), p).select("doc", "ord", "line")
 
 
-@query()
+_TITLES = "[" + ", ".join(f"'{h}'" for h in HEADINGS) + "]"
+_PATHS = "['Chapter 1 Aims', 'Chapter 1 Aims/1.1 Scope', 'Chapter 1 Aims/3.9 Notes/1.1.1 Detail', 'Chapter 2 Means', 'Chapter 2 Means/2.1 Ways', 'Chapter 2 Means/6.9 Notes/2.1.1 Tools']"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH f AS (SELECT doc, page, text, {_TITLES}[page] AS h, string_split(text, chr(10)) AS ls, list_position(string_split(text, chr(10)), page || '.9 Notes') AS k FROM {PAGED}),
+g AS (SELECT *, {_STRIP.format("array_to_string(ls[1:k - 1], chr(10))")} AS a, {_STRIP.format("array_to_string(ls[k:], chr(10))")} AS b FROM f), d AS (SELECT *, page IN (1, 4) AND a = h AS bare FROM g)
+SELECT doc, page, 1 AS fragment, CASE WHEN bare THEN 1 ELSE 2 END AS count, h AS title, {_PATHS}[page] AS path, md5(CASE WHEN bare THEN {_STRIP.format('text')} ELSE a END) AS text FROM d
+UNION ALL SELECT doc, page, 2, 2, page || '.9 Notes', CASE WHEN page < 4 THEN 'Chapter 1 Aims/' ELSE 'Chapter 2 Means/' END || page || '.9 Notes', md5(b) FROM d WHERE NOT bare""")
 def page_fragments(spark, sf_dir):
     p = paged(spark, sf_dir)
     return trees.split_pages(p, trees.text_markers(p)).withColumn("text", F.md5("text"))
@@ -96,7 +104,7 @@ def markdown_export(spark, sf_dir):
 
 
 # ---- two versions of a document ------------------------------------------------------------
-@query()
+@query("SELECT doc_id AS doc, p::INT AS page, greatest(1, p - 1)::INT AS mapped FROM documents, (SELECT unnest(range(1, 7)) AS p)")
 def page_alignment(spark, sf_dir):
     """Every document against itself without its second page."""
     p = paged(spark, sf_dir)
