@@ -294,7 +294,7 @@ def url_marks(spark, sf_dir):
     return answers.mark_counts(e.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.col("event_id").alias("ord"), delta.alias("delta")))
 
 
-@query("WITH c AS (SELECT user_id AS key, epoch(ts)::BIGINT AS stored, event_id AS value FROM events), m AS (SELECT key, max(stored) AS stored, arg_max(value, (stored, value)) AS value FROM c GROUP BY key) SELECT key, stored, value FROM m WHERE stored > (SELECT max(stored) FROM c) - 36000 ORDER BY stored DESC, key LIMIT 1000")
+@query("WITH c AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS stored, event_id AS value FROM events), m AS (SELECT key, max(stored) AS stored, arg_max(value, (stored, value)) AS value FROM c GROUP BY key) SELECT key, stored, value FROM m WHERE stored > (SELECT max(stored) FROM c) - 36000 ORDER BY stored DESC, key LIMIT 1000")
 def cache_unexpired(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("stored"), F.col("event_id").alias("value"))
     now = e.agg(F.max("stored")).first()[0]
