@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,27 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int) ->
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 
+# ---- memory of workers ---------------------------------------------------------------------
+# A worker serves the tasks of one operator after another's; what the earlier one has cached counts
+# against the executor's memory.
+_HELD: list = []
+
+
+def hold(drop) -> None:
+    """Register how a cache that outlives its task is emptied."""
+    _HELD.append(drop)
+
+
+def release() -> None:
+    """Empty the caches that earlier tasks have left in this worker, and give free memory back to the system."""
+    while _HELD:
+        _HELD.pop()()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
 # ---- files of our own formats -------------------------------------------------------------
 # Executors reach the shared folder as a mounted path (file: or no scheme) or, for another
 # scheme, through Arrow's file systems.

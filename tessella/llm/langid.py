@@ -130,7 +130,8 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """The model of docs (text, lang). What comes to the driver is BUCKETS rows a language."""
+    """The model of docs (text, lang). The driver gets BUCKETS rows a language, and so many numbers a language are what a
+    task and a worker hold: 64 KB for each name that occurs in lang, some MB for the languages that there are."""
     by: dict[str, np.ndarray] = {}
     for r in counts(docs).toLocalIterator():
         by.setdefault(r.lang, np.zeros(BUCKETS, np.int64))[r.bucket] = r.n

@@ -37,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, atomic_output, new_folder, open_read
+from tessella.llm.common import Scratch, atomic_output, new_folder, open_read, release
 
 ORDER = 6
 #: The lowest order that a shard works out alone.
 LOCAL = 3
 #: Bytes of text in a block, bytes of a text coded at once, n-grams that a merge holds unsorted.
-BLOCK, PIECE, PENDING = 10_000_000, 1 << 20, 2_000_000
+BLOCK, PIECE, PENDING = 5_000_000, 1 << 20, 2_000_000
+#: N-grams whose codes a block holds before it numbers them.
+RUN = 1_000_000
 #: Log probabilities are sent back in steps of 1 / STEPS, in 16 bits: what is below -32.7 counts as that.
 STEPS = 2000
 #: Bytes before a text's first.
@@ -214,49 +216,74 @@ def packed(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
+def packed_values(x: np.ndarray) -> bytes:
+    """16-bit numbers, the low bytes, then the high ones, which are much alike."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
+
+
+def unpacked_values(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1)
+    return np.ascontiguousarray(planes.T).view("<u2").ravel()
+
+
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
 class Block:
-    """Pieces of texts in a row: their n-grams, and which document each piece is of."""
+    """Pieces of texts in a row: their n-grams, and which document each piece is of.
+
+    Codes are replaced by their places among distinct ones after every RUN of them, so a block holds
+    four bytes a position and not eight, and what is sorted is short.
+    """
 
     def __init__(self):
-        self.size, self.codes, self.doc, self.learn = 0, [], [], []
+        self.size, self.runs, self.codes, self.doc, self.learn = 0, [], [], [], []
 
     def add(self, doc: int, codes: np.ndarray, learn: bool) -> None:
         self.size += len(codes)
         self.codes.append(codes)
         self.doc.append(doc)
         self.learn.append(learn)
+        if sum(map(len, self.codes)) >= RUN:
+            self._close_run()
+
+    def _close_run(self) -> None:
+        if not self.codes:
+            return
+        length = np.array([len(c) for c in self.codes], np.int64)
+        d = pc.dictionary_encode(pa.array(np.concatenate(self.codes)))
+        code, at = d.dictionary.to_numpy(), d.indices.to_numpy()
+        n = np.bincount(at, np.repeat(np.array(self.learn, np.float32), length), len(code)).astype(np.int64)
+        self.runs.append([code, at, n, length, self.doc])
+        self.codes, self.doc, self.learn = [], [], []
 
     def distinct(self, shards: int) -> None:
-        """self.sent: distinct n-grams by shard, ascending in each; self.at: of each position, its place there."""
-        self.length = np.array([len(c) for c in self.codes], np.int64)
-        d = pc.dictionary_encode(pa.chunked_array([pa.array(c) for c in self.codes])).combine_chunks()
-        if isinstance(d, pa.ChunkedArray):
-            d = d.chunk(0)
-        self.codes = None
-        code, at = d.dictionary.to_numpy(), d.indices.to_numpy()
+        """self.sent: distinct n-grams by shard, ascending in each; self.n: their numbers in documents to learn from."""
+        self._close_run()
+        code, place = np.unique(np.concatenate([r[0] for r in self.runs]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([r[2] for r in self.runs]), len(code)).astype(np.int64)
         shard = shard_of(code, shards)
-        order = np.lexsort((code, shard))
-        place = np.empty(len(code), np.int32)
-        place[order] = np.arange(len(code), dtype=np.int32)
-        self.sent, self.shard, self.at = code[order], shard[order], place[at]
+        order = np.argsort(shard, kind="stable")
+        self.sent, self.shard, self.n = code[order], shard[order], n[order]
+        back = np.empty(len(code), np.int32)
+        back[order] = np.arange(len(code), dtype=np.int32)
+        place, begin = back[place], 0
+        for r in self.runs:
+            r[0], r[2], begin = place[begin : begin + len(r[0])], None, begin + len(r[0])
 
     def lists(self) -> Iterator[tuple[int, bytes, bytes]]:
         """Per shard: the block's n-grams, as differences, and their numbers in documents to learn from."""
-        n = np.bincount(self.at, np.repeat(np.array(self.learn, float), self.length), len(self.sent)).astype(np.int64)
         shards, first = np.unique(self.shard, return_index=True)
-        for s, code, m in zip(shards, np.split(self.sent, first[1:]), np.split(n, first[1:]), strict=True):
+        for s, code, m in zip(shards, np.split(self.sent, first[1:]), np.split(self.n, first[1:]), strict=True):
             yield int(s), packed(np.diff(code, prepend=U(0))), packed(m)
 
     def scores(self, values: np.ndarray) -> Iterator[tuple[int, float, int]]:
         """Per piece: document, sum of -log P in steps, bytes."""
-        starts = np.cumsum(self.length) - self.length
-        sums = np.add.reduceat(values[self.at], starts, dtype=np.int64)
-        yield from zip(self.doc, sums, self.length, strict=True)
+        for place, at, _, length, doc in self.runs:
+            sums = np.add.reduceat(values[place][at], np.cumsum(length) - length, dtype=np.int64)
+            yield from zip(doc, sums, length, strict=True)
 
 
 def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block, list]]:
@@ -266,6 +293,7 @@ def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block
     A finished batch is (number of documents up to its end, batch, facts of its documents).
     """
     part = TaskContext.get().partitionId()
+    release()
     block, done, i, number = Block(), [], 0, 0
     for b in batches:
         known = []
@@ -281,6 +309,7 @@ def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block
             number += 1
         done.append((number, b, known))
     yield f"{part}-{i}", block, done
+    release()
 
 
 def _rows(batches, *names):
@@ -394,9 +423,9 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
             with open_read(f"{folder}/lists/{shard}") as f:
                 for block, grams_ in _lists(f):
                     code = np.cumsum(unpacked(grams_), dtype=U)
-                    values = np.rint(np.clip(model.log_probability(code) * np.float32(-STEPS), 0, 65535)).astype("<u2")
+                    values = np.rint(np.clip(model.log_probability(code) * np.float32(-STEPS), 0, 65535))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), pa.array([shard], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([_check(code)], pa.int64())],
+                        [pa.array([block]), pa.array([shard], pa.int32()), pa.array([packed_values(values)], pa.binary()), pa.array([_check(code)], pa.int64())],
                         names=["block", "shard", "values", "code"],
                     )
 
@@ -405,7 +434,8 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
             got = list(rows)
             with atomic_output(f"{folder}/answers/{block}") as f:
                 f.write(sum(r[3] for r in got).to_bytes(16, "little", signed=True))
-                f.writelines(r[2] for r in got)
+                for r in got:
+                    f.write(len(r[2]).to_bytes(8, "little") + r[2])
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
     each = spark.range(0, len(present), 1, max(1, len(present)))
@@ -430,11 +460,14 @@ def scored(batches, folder: str, shards: int, text_at: int, facts, size: int = B
         if block.size:
             block.distinct(shards)
             with open_read(f"{folder}/answers/{name}") as f:
-                check, data = int.from_bytes(f.read(16), "little", signed=True), f.read()
+                check, parts = int.from_bytes(f.read(16), "little", signed=True), []
+                while head := f.read(8):
+                    parts.append(unpacked_values(f.read(int.from_bytes(head, "little"))))
+            values = np.concatenate(parts)
             _, first = np.unique(block.shard, return_index=True)
-            if len(data) != 2 * len(block.sent) or check != sum(map(_check, np.split(block.sent, first[1:]))):
+            if len(values) != len(block.sent) or check != sum(map(_check, np.split(block.sent, first[1:]))):
                 raise RuntimeError(f"block {name} was read in another order than when it was counted")
-            for doc, total, n in block.scores(np.frombuffer(data, "<u2")):
+            for doc, total, n in block.scores(values):
                 t = totals.setdefault(doc, [0, 0])
                 t[0] += int(total)
                 t[1] += int(n)

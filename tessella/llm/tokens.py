@@ -22,6 +22,8 @@ import re
 
 import numpy as np
 
+from tessella.llm.common import hold
+
 #: Code points with the Unicode property White_Space, as the tokenizer's \s takes them.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The letters (Unicode category L) of Latin-1.
@@ -168,6 +170,7 @@ def encoder(path: str) -> CachedEncoder:
     """This worker's encoder for a tokenizer file; the cache lives as long as the worker."""
     if path not in _encoders:
         _encoders[path] = CachedEncoder(path)
+        hold(_encoders.clear)
     return _encoders[path]
 
 
