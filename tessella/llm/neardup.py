@@ -42,6 +42,8 @@ BLOCK_SHINGLES = 500_000
 #: Signatures of a block in the verification (some 200 bytes each).
 BLOCK_SIGNATURES = 10_000
 WORD_CACHE = 150_000
+#: Parts of a node's neighbours in the star joins.
+SALTS = 8
 
 
 class _WordHash(dict):
@@ -153,12 +155,16 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     """Alternating large-star and small-star over edges (u, v): rows (u, v), v the least of u's component.
 
     Least nodes themselves have no row. Each node's least neighbour comes from an aggregation that
-    combines before the shuffle, and is a written table before it's joined back: so the join has
-    shuffles of its own on both sides, which adaptive execution splits (or a broadcast, if the table
-    is small), and a node with very many neighbours isn't one task's work. Tables of past rounds go.
+    combines before the shuffle, and is joined back by the node and a salt: so a node with very many
+    neighbours is SALTS tasks' work, and as the join has shuffles of its own on both sides, adaptive
+    execution splits it further. Tables of past rounds go.
     """
     own = Scratch(scratch.spark, f"{scratch.label}-stars")
 
+    def with_least(pairs, least):
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+
     def state(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -171,11 +177,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
             break
         past, own.paths = own.paths, []
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = own.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{i}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = own.write(large.where("u <> v").distinct(), f"large{i}")
-        least = own.write(large.groupBy("u").agg(F.min("v").alias("m")), f"less{i}")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = own.write(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"small{i}")
         for path in past + own.paths[:-1]:
             remove(own.spark, path)
