@@ -9,7 +9,9 @@ from tessella.llm.mixing import OP6_SQL, op6_mixing
 from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
 from tessella.llm.perplexity import op4_quality
+from tessella.llm.phrases import OP11_SQL, op11_phrases
 from tessella.llm.sstable import op1_sstable
+from tessella.llm.trie import OP13_SQL, op13_prefix_trie
 from tessella.llm.warc import OP2_SQL, op2_warc
 from tessella.llm.winnowing import op9_winnowing
 
@@ -24,10 +26,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_winnowing": op9_winnowing,
     "op10_minhash": op10_minhash,
+    "op11_phrases": op11_phrases,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op6_mixing": OP6_SQL,
     "op7_chat": OP7_SQL,
     "op10_minhash": OP10_SQL,
+    "op11_phrases": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
