@@ -8,6 +8,7 @@ from tessella.llm.licenses import op3_licenses
 from tessella.llm.mixing import OP6_SQL, op6_mixing
 from tessella.llm.neardup import OP10_SQL, op10_minhash
 from tessella.llm.packing import op8_packing
+from tessella.llm.pagediff import op12_html
 from tessella.llm.perplexity import op4_quality
 from tessella.llm.phrases import OP11_SQL, op11_phrases
 from tessella.llm.sstable import op1_sstable
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_minhash": op10_minhash,
     "op11_phrases": op11_phrases,
+    "op12_html": op12_html,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
