@@ -54,7 +54,9 @@ START = b"\n" * (ORDER - 1)
 U = np.uint64
 #: The bit of a code that tells the half; a model goes by the half that it scores.
 HALF = U(1 << 63)
-SENT = "shard int, block string, grams binary, n binary"
+SENT = "shard int, block long, grams binary, n binary"
+#: A block's number: its task's, and its own in the task.
+BLOCK_BITS = 32
 
 
 def half_of(data: bytes) -> int:
@@ -286,13 +288,13 @@ class Block:
             yield from zip(doc, sums, length, strict=True)
 
 
-def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block, list]]:
-    """(name, block, batches whose documents are over): a partition's documents in order, cut after `size` bytes.
+def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[int, Block, list]]:
+    """(number, block, batches whose documents are over): a partition's documents in order, cut after `size` bytes.
 
     facts gives for a text whatever the caller wants to know and whether the model learns from it.
     A finished batch is (number of documents up to its end, batch, facts of its documents).
     """
-    part = TaskContext.get().partitionId()
+    first = TaskContext.get().partitionId() << BLOCK_BITS
     release()
     block, done, i, number = Block(), [], 0, 0
     for b in batches:
@@ -304,11 +306,11 @@ def blocks(batches, text_at: int, facts, size: int) -> Iterator[tuple[str, Block
             for codes in grams(data):
                 block.add(number, codes, learn)
                 if block.size >= size:
-                    yield f"{part}-{i}", block, done
+                    yield first | i, block, done
                     block, done, i = Block(), [], i + 1
             number += 1
         done.append((number, b, known))
-    yield f"{part}-{i}", block, done
+    yield first | i, block, done
     release()
 
 
@@ -320,15 +322,14 @@ def _rows(batches, *names):
 def _kept(file, rows):
     """The rows, whose names and n-grams go to the file."""
     for r in rows:
-        name = r[1].encode()
-        file.write(struct.pack("<II", len(name), len(r[2])) + name + r[2])
+        file.write(struct.pack("<QI", r[1], len(r[2])) + r[2])
         yield r
 
 
-def _lists(file) -> Iterator[tuple[str, bytes]]:
-    while head := file.read(8):
-        name, size = struct.unpack("<II", head)
-        yield file.read(name).decode(), file.read(size)
+def _lists(file) -> Iterator[tuple[int, bytes]]:
+    while head := file.read(12):
+        block, size = struct.unpack("<QI", head)
+        yield block, file.read(size)
 
 
 def _merge(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -358,12 +359,16 @@ def _counts_of_counts(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, li
 
 
 def shards_for(size: int) -> int:
-    """Shards of a corpus of so many bytes: the square root of its MB, 16 to 1024, as blocks times shards are rows."""
-    return 1 << min(10, max(4, math.ceil(math.log2(max(1.0, size / 1e6)) / 2)))
+    """Shards of a corpus of so many bytes: the square root of its MB, 16 at least, as blocks times shards are rows.
+
+    There are 65,536 contexts of two bytes, so that many shards are the most; 4e15 bytes come to that. What a
+    shard holds are distinct n-grams, which become fewer per byte as the corpus grows.
+    """
+    return 1 << min(16, max(4, math.ceil(math.log2(max(1.0, size / 1e6)) / 2)))
 
 
 def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[str, int]:
-    """Counts, model and answers for docs (text, and more). Returns the folder (model/<shard>, answers/<block>) and the number of shards."""
+    """Counts, model and answers for docs (text, and more). Returns the folder (model/<shard>, answers/<task>) and the number of shards."""
     spark = docs.sparkSession
     folder = new_folder(spark, "ngrams")
     scratch.paths.append(folder)
@@ -379,11 +384,11 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
                 for k in range(0, len(rows), 256):
                     s, g, n = zip(*rows[k : k + 256], strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s, pa.int32()), pa.array([name] * len(s)), pa.array(g, pa.binary()), pa.array(n, pa.binary())],
+                        [pa.array(s, pa.int32()), pa.array([name] * len(s), pa.int64()), pa.array(g, pa.binary()), pa.array(n, pa.binary())],
                         names=["shard", "block", "grams", "n"],
                     )
 
-    dealt = docs.mapInArrow(send, SENT).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = docs.mapInArrow(send, SENT).repartitionById(shards, "shard").sortWithinPartitions("shard")
 
     def summary(batches):
         for shard, rows in groupby(_rows(batches, "shard", "block", "grams", "n"), itemgetter(0)):
@@ -425,23 +430,25 @@ def fit(docs: DataFrame, facts, scratch: Scratch, size: int = BLOCK) -> tuple[st
                     code = np.cumsum(unpacked(grams_), dtype=U)
                     values = np.rint(np.clip(model.log_probability(code) * np.float32(-STEPS), 0, 65535))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), pa.array([shard], pa.int32()), pa.array([packed_values(values)], pa.binary()), pa.array([_check(code)], pa.int64())],
+                        [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([packed_values(values)], pa.binary()), pa.array([_check(code)], pa.int64())],
                         names=["block", "shard", "values", "code"],
                     )
 
     def keep(batches):
-        for block, rows in groupby(_rows(batches, "block", "shard", "values", "code"), itemgetter(0)):
-            got = list(rows)
-            with atomic_output(f"{folder}/answers/{block}") as f:
-                f.write(sum(r[3] for r in got).to_bytes(16, "little", signed=True))
-                for r in got:
-                    f.write(len(r[2]).to_bytes(8, "little") + r[2])
+        rows = _rows(batches, "block", "shard", "values", "code")
+        for task, own in groupby(rows, lambda r: r[0] >> BLOCK_BITS):
+            with atomic_output(f"{folder}/answers/{task}") as f:
+                for _, some in groupby(own, itemgetter(0)):
+                    got = list(some)
+                    f.write(len(got).to_bytes(8, "little") + sum(r[3] for r in got).to_bytes(16, "little", signed=True))
+                    for r in got:
+                        f.write(len(r[2]).to_bytes(8, "little") + r[2])
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
     each = spark.range(0, len(present), 1, max(1, len(present)))
-    answers = each.mapInArrow(answer, "block string, shard int, values binary, code long")
+    answers = each.mapInArrow(answer, "block long, shard int, values binary, code long").withColumn("task", F.shiftright("block", BLOCK_BITS))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answers.repartition(parts, "block").sortWithinPartitions("block", "shard").mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    answers.repartition(parts, "task").drop("task").sortWithinPartitions("block", "shard").mapInArrow(keep, "n long").agg(F.sum("n")).collect()
     return folder, shards
 
 
@@ -456,14 +463,13 @@ def scored(batches, folder: str, shards: int, text_at: int, facts, size: int = B
     Log perplexity is the mean of -log P over a text's bytes, None for an empty one.
     """
     totals: dict[int, list] = {}
+    file = None
     for name, block, done in blocks(batches, text_at, facts, size):
         if block.size:
             block.distinct(shards)
-            with open_read(f"{folder}/answers/{name}") as f:
-                check, parts = int.from_bytes(f.read(16), "little", signed=True), []
-                while head := f.read(8):
-                    parts.append(unpacked_values(f.read(int.from_bytes(head, "little"))))
-            values = np.concatenate(parts)
+            file = file or open_read(f"{folder}/answers/{name >> BLOCK_BITS}")
+            lists, check = int.from_bytes(file.read(8), "little"), int.from_bytes(file.read(16), "little", signed=True)
+            values = np.concatenate([unpacked_values(file.read(int.from_bytes(file.read(8), "little"))) for _ in range(lists)] or [np.zeros(0, np.uint16)])
             _, first = np.unique(block.shard, return_index=True)
             if len(values) != len(block.sent) or check != sum(map(_check, np.split(block.sent, first[1:]))):
                 raise RuntimeError(f"block {name} was read in another order than when it was counted")
@@ -474,3 +480,5 @@ def scored(batches, folder: str, shards: int, text_at: int, facts, size: int = B
         for end, b, known in done:
             own = [totals.pop(i, None) for i in range(end - b.num_rows, end)]
             yield b, known, [t[0] / STEPS / t[1] if t else None for t in own]
+    if file:
+        file.close()

@@ -8,16 +8,15 @@ bucket, needs no padding, and no sequence holds two documents.
 
 from __future__ import annotations
 
-import zlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import prepare, table
 from tessella.llm.tokens import encoder, le32
 
 PIECES = (
-    "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, width int, ids binary"
+    "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
 )
 #: A sequence's number: bucket, partition and running number, so that equal lengths are one range.
 PARTITION_BITS, ROW_BITS = 22, 34
@@ -38,6 +37,8 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None, longest: int = 1024) -> DataFrame:
     """A row per piece of every row of docs (doc_id, text; other columns are ignored).
 
+    ids are little-endian 32-bit integers; bucket is the logarithm of the piece's length, to base 2.
+
     Null text is empty, so such a document is its end token alone (or nothing without one).
     Repeated rows and repeated identifiers are packed once per row. sequence_id is unique, and the
     same each time the same partitions are read. There is no shuffle, and a task holds one batch.
@@ -55,13 +56,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, longest: int = 102
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += end
-                at, total = 0, len(ids) // enc.width
+                ids = le32(ids + end, enc.width)
+                at, total = 0, len(ids) // 4
                 for n in piece_lengths(total, longest):
                     bucket = n.bit_length() - 1
                     number = (bucket << PARTITION_BITS + ROW_BITS) + (part << ROW_BITS) + used[bucket]
                     used[bucket] += 1
-                    rows.append((doc_id, at, n, total, bucket, number, 0, enc.width, ids[at * enc.width : (at + n) * enc.width]))
+                    rows.append((doc_id, at, n, total, bucket, number, 0, ids[at * 4 : (at + n) * 4]))
                     at += n
                 if len(rows) > 5_000:
                     yield _rows(rows)
@@ -73,29 +74,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, longest: int = 102
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in PIECES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Sequences as Parquet, a folder per length."""
-    packed.write.partitionBy("length").parquet(path)
+    """Sequences as Parquet, a folder per bucket, whose sequences have one length. Nothing is written for an empty bucket."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """Pieces with the crc32 of their ids in place of the ids."""
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length; other folders aren't opened."""
+    return spark.read.schema(PIECES).parquet(path).where(F.col("bucket") == length.bit_length() - 1)
 
-    def crc(batches):
-        for b in batches:
-            pairs = zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)
-            sums = pa.array([zlib.crc32(le32(v, w)) for v, w in pairs], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept[:3]), sums, *(b.column(c) for c in kept[3:])], names=[*kept[:3], "ids_crc32", *kept[3:]])
 
-    kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
-    return packed.select(*kept, "width", "ids").mapInArrow(
-        crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+def digest(packed: DataFrame) -> DataFrame:
+    """Pieces with the crc32 of their ids in place of the ids."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

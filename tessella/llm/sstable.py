@@ -265,7 +265,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     before = F.coalesce(
         F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    shards = manifest.select("path", before.alias("before"))
+    number = (F.row_number().over(Window.orderBy("shard")) - 1).alias("number")
+    shards = manifest.select("path", before.alias("before"), number)
 
     def read(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())])
@@ -278,7 +279,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 r.close()
 
     n = max(1, manifest.count())
-    return shards.repartition(n, "path").mapInArrow(read, "doc_id long, start long, ids binary, width int")
+    return shards.repartitionById(n, "number").mapInArrow(read, "doc_id long, start long, ids binary, width int")
 
 
 def lookup(manifest: DataFrame, doc_id: int) -> list[bytes]:

@@ -45,6 +45,19 @@ def test_packing_edges(spark):
         packing.pack(df, PATH, 0, 1000)
 
 
+def test_buckets_hold_one_length(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    packed = packing.pack(df, PATH, 0)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    want = {r.length: (r.n, r.s) for r in packed.groupBy("length").agg(F.count("*").alias("n"), F.sum("start").alias("s")).collect()}
+    assert len(want) == 11
+    for length, (n, s) in want.items():
+        got = packing.read_bucket(spark, str(tmp_path / "b"), length)
+        r = got.agg(F.count("*"), F.sum("start"), F.min("length"), F.max("length"), F.max(F.octet_length("ids")), F.min(F.octet_length("ids"))).first()
+        assert tuple(r) == (n, s, length, length, 4 * length, 4 * length)
+        assert got.select(F.shiftright("sequence_id", packing.PARTITION_BITS + packing.ROW_BITS)).distinct().collect() == [(length.bit_length() - 1,)]
+
+
 def test_mixing_equals_sql(spark):
     got = sorted(tuple(r) for r in mixing.op6_mixing(spark, SF).select("doc_id", "copy", "n_copies", "rate", "shuffle_key", "text_md5").collect())
     sql = mixing.OP6_SQL.replace("FROM documents", f"FROM '{SF}/documents.parquet'")
