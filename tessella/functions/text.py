@@ -93,24 +93,24 @@ def roman_to_int(c: Column) -> Column:
 
 
 def chinese_to_int(c: Column) -> Column:
-    """Value of a Chinese numeral; a unit without a digit counts one; null for other signs and for zero."""
+    """Value of a Chinese numeral; a unit without a digit counts one; null for other signs and for zero.
+
+    Parts between signs for ten thousand are worth their units, each times the digit before it, and a digit at their end.
+    """
     t = strip(F.coalesce(c, F.lit("")))
+    digit, unit = "[" + "".join(CN_DIGITS) + "]", "[" + "".join(u for u, n in CN_UNITS.items() if n < 10000) + "]"
+    worth = lambda x: F.coalesce(F.try_element_at(_map(CN_DIGITS | CN_UNITS), x), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("total"), zero.alias("part"), zero.alias("digit"), F.lit(True).alias("ok"))
-
-    def add(s, ch):
-        digit, unit = F.try_element_at(_map(CN_DIGITS), ch), F.try_element_at(_map(CN_UNITS), ch)
-        large = unit == 10000
-        one = F.when(s["digit"] == 0, F.lit(1).cast("long")).otherwise(s["digit"])
-        return (
-            F.when(digit.isNotNull(), F.struct(s["total"].alias("total"), s["part"].alias("part"), digit.cast("long").alias("digit"), s["ok"].alias("ok")))
-            .when(unit.isNull(), F.struct(s["total"].alias("total"), s["part"].alias("part"), s["digit"].alias("digit"), F.lit(False).alias("ok")))
-            .when(large, F.struct((s["total"] + (s["part"] + s["digit"]) * 10000).alias("total"), zero.alias("part"), zero.alias("digit"), s["ok"].alias("ok")))
-            .otherwise(F.struct(s["total"].alias("total"), (s["part"] + one * unit).alias("part"), zero.alias("digit"), s["ok"].alias("ok")))
-        )
+    total = lambda values: F.aggregate(values, zero, lambda s, x: s + x)
+
+    def part(x):
+        pairs = F.regexp_extract_all(x, F.lit(f"({digit}?{unit})"), 1)
+        return total(F.transform(pairs, lambda p: F.greatest(worth(F.left(p, F.char_length(p) - 1)), F.lit(1)) * worth(F.right(p, F.lit(1))))) + worth(F.regexp_extract(x, f"({digit})$", 1))
 
-    value = F.aggregate(F.split(t, ""), start, add, lambda s: F.when(s["ok"], s["total"] + s["part"] + s["digit"]))
-    return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when((t != "") & (value > 0), value)
+    parts = F.transform(F.split(t, "万"), part)
+    value = total(F.slice(parts, 1, F.size(parts) - 1)) * 10000 + F.element_at(parts, -1)
+    signs = "".join(CN_DIGITS) + "".join(CN_UNITS)
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(t.rlike(f"^[{signs}]+$") & (value > 0), value)
 
 
 def coerce_page(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import coerce_page, heading_key, strip
+from tessella.operators import overlay
 from tessella.operators.store import ordered_distinct
 from tessella.session import ship_package
 
@@ -26,48 +27,39 @@ def signature(text: Column) -> Column:
 
 def same_page(a: str, b: str) -> bool:
     """Whether two signatures mean one page: equal, equal first lines, or one inside the other if both are long."""
-    if not a or not b:
+    if not (a and b):
         return False
-    head_a, head_b = a.partition("|")[0], b.partition("|")[0]
-    if a == b or head_a == head_b or head_a == b or head_b == a:
+    firsts = [x.partition("|")[0] for x in (a, b)]
+    if {a, firsts[0]} & {b, firsts[1]}:
         return True
-    if min(len(head_a), len(head_b)) >= 6 and (head_a in b or head_b in a):
-        return True
-    return min(len(a), len(b)) >= 12 and (a in b or b in a)
+    # fixed values: from how many characters on a first line, and a whole signature, may be inside the other
+    return any(min(map(len, pair)) >= least and (pair[0] in b or pair[1] in a) for pair, least in ((firsts, 6), ((a, b), 12)))
 
 
 def align(source: list[str], target: list[str]) -> dict[int, int]:
     """Source page to target page (from 1) by signatures; empty without a match.
 
-    Both lists are walked at once. A blank target page is passed over; a blank source page takes the
-    target at hand. Where the two differ, one page is skipped on the side whose next page matches,
-    the target's first; else they are taken for one. Pages after the walk keep the last offset.
+    Each source page in turn looks for its place from where the one before has left off. Target pages that are blank,
+    or whose next one is the source page while they aren't, are no place. A blank source page shares its place with the next
+    one; a page that isn't the one at its place, while the page after it is, gets none. Pages
+    after the last place keep the last offset.
     """
-    out: dict[int, int] = {}
-    s = t = matched = 0
-    after = lambda pages, i: pages[i + 1] if i + 1 < len(pages) else ""
-    while s < len(source) and t < len(target):
-        if not target[t]:
-            t += 1
-        elif not source[s]:
-            out[s + 1] = t + 1
-            s += 1
-        elif same_page(source[s], target[t]):
-            matched += 1
-            s, t = s + 1, t + 1
-            out[s] = t
-        elif same_page(source[s], after(target, t)):
-            t += 1
-        elif same_page(after(source, s), target[t]):
-            s += 1
-        else:
-            s, t = s + 1, t + 1
-            out[s] = t
-    if not matched:
+    placed: dict[int, int] = {}
+    at, met, following = 0, False, [*target[1:], ""]
+    for page, (own, after) in enumerate(zip(source, [*source[1:], ""], strict=False), 1):
+        skipped = lambda j: not target[j] or (own and same_page(own, following[j]) and not same_page(own, target[j]))  # noqa: B023, E731
+        at = next((j for j in range(at, len(target)) if not skipped(j)), len(target))
+        if at == len(target):
+            break
+        same = same_page(own, target[at])
+        met |= same
+        if same or not own or not same_page(after, target[at]):
+            placed[page] = at + 1
+            at += bool(own)
+    if not met:
         return {}
-    last = max(out)
-    shift = out[last] - last
-    return {p: out.get(p, min(max(p + shift, 1), len(target))) for p in range(1, len(source) + 1)}
+    last, place = max(placed.items())
+    return {p: placed.get(p, min(max(p + place - last, 1), len(target))) for p in range(1, len(source) + 1)}
 
 
 def map_pages(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -98,10 +90,8 @@ def map_pages(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def target_ranges(ranges: DataFrame, mapping: DataFrame) -> DataFrame:
     """ranges (doc, ord, start, end) with start and end of the mapped pages (doc, page, mapped); those without pages are left out."""
-    r = ranges.withColumnRenamed("start", "_from").withColumnRenamed("end", "_to")
-    met = r.join(mapping, "doc").where(F.col("page").between(F.col("_from"), F.col("_to")))
-    span = met.groupBy("doc", "ord").agg(F.min("mapped").alias("start"), F.max("mapped").alias("end"))
-    return ranges.drop("start", "end").join(span, ["doc", "ord"])
+    span = overlay.extent(ranges, mapping.select("doc", F.col("page").alias("at"), F.col("mapped").alias("value")))
+    return ranges.drop("start", "end").join(span.select("doc", "ord", F.col("least").alias("start"), F.col("greatest").alias("end")), ["doc", "ord"])
 
 
 LISTS = ("headers", "footers", "citations")

@@ -6,25 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import heading_key, heading_title
+from tessella.operators import overlay
 from tessella.session import cut_lineage
 
 
-def _last_by_level(rows: DataFrame, value: Column, order: Column) -> tuple[DataFrame, list[tuple[int, str]]]:
-    """rows with, for each level that occurs, `value` of the last row before it (in `order`) of that level.
-
-    One sort and one growing frame per level, so the work is linear in the rows; value is null where it doesn't count.
-    """
-    deepest = int(rows.agg(F.max("level")).first()[0] or 1)
-    w = Window.partitionBy("doc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    names = [(k, f"_level{k}") for k in range(1, deepest + 1)]
-    return rows.select("*", *[F.last(F.when(F.col("level") == k, value), ignorenulls=True).over(w).alias(c) for k, c in names]), names
-
-
-def _latest(columns: list[Column]) -> Column:
-    """The greatest struct, nulls aside."""
-    return F.greatest(*columns, columns[0])
-
-
 def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
     """(doc, ord, title, start, end, level): a marker reaches to the page before the next marker of no deeper level.
 
@@ -33,9 +18,8 @@ def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
     before it starts; without a boundary it ends with the document.
     """
     m = markers.withColumn("level", F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)))
-    place = F.when(F.col("page").isNotNull(), F.struct((-F.col("ord")).alias("back"), "page"))
-    m, later = _last_by_level(m, place, F.col("ord").desc())
-    boundary = _latest([F.when(F.lit(k) <= F.col("level"), F.col(c)) for k, c in later])["page"]
+    m = overlay.open_rows(m, -F.col("ord"), "page", strict=False, counts=F.col("page").isNotNull())
+    boundary = F.try_element_at("open", F.lit(-1))
     end = F.when(boundary.isNotNull(), boundary - 1).otherwise(total_pages)
     title = heading_title(F.col("title"))
     return m.where((F.col("page") > 0) & (title != "")).select(
@@ -46,23 +30,17 @@ def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
 
 def paths(rows: DataFrame) -> DataFrame:
     """rows (doc, ord, title, level from 1) with path: the titles of the nearest earlier shallower rows and its own."""
-    r, before = _last_by_level(rows, F.struct("ord", "title"), F.col("ord"))
-    # level k counts when it is shallower than the row and no shallower one comes after it
-    parts, newest = [], F.lit(-1).cast("long")
-    for k, name in before:
-        c = F.col(name)
-        shallower = (F.lit(k) < F.col("level")) & c.isNotNull()
-        parts.append(F.when(shallower & (c["ord"] > newest), c["title"]))
-        newest = F.greatest(newest, F.when(shallower, c["ord"]).otherwise(F.lit(-1)).cast("long"))
-    return r.withColumn("path", F.concat_ws("/", *parts, F.col("title"))).drop(*[c for _, c in before])
+    r = overlay.open_rows(rows, F.col("ord"), "title")
+    return r.withColumn("path", F.array_join(F.concat("open", F.array("title")), "/")).drop("open")
 
 
 def best_section(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """pages (doc, page) with the deepest, narrowest, earliest range that holds them; pages without one are left out."""
-    s = sections.withColumn("span", F.col("end") - F.col("start"))
-    both = pages.join(s, "doc").where(F.col("page").between(F.col("start"), F.col("end")))
-    w = Window.partitionBy("doc", "page").orderBy(F.col("level").desc(), "span", "start", "ord")
-    return both.withColumn("at", F.row_number().over(w)).where("at = 1").drop("at", "span")
+    """pages (doc, page) with the deepest, narrowest, earliest range that holds them; pages without one are left out.
+
+    Ranges are swept over the pages; what is joined after is one range per page.
+    """
+    best = overlay.cover(pages.select("doc", "page").distinct(), sections).where("ord is not null")
+    return pages.join(best, ["doc", "page"]).join(sections, ["doc", "ord"])
 
 
 def section_runs(pages: DataFrame) -> DataFrame:
@@ -153,20 +131,22 @@ def boundary_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
     """nodes (doc, ord, title, level) with parent: ord of the nearest earlier node of a smaller level."""
-    n, before = _last_by_level(nodes, F.struct("ord"), F.col("ord"))
-    up = _latest([F.when(F.lit(k) < F.col("level"), F.col(c)) for k, c in before])
-    return n.withColumn("parent", up["ord"]).drop(*[c for _, c in before])
+    return overlay.open_rows(nodes, F.col("ord"), "ord").withColumn("parent", F.try_element_at("open", F.lit(-1))).drop("open")
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(doc, ancestor, node, distance) of edges (doc, ord, parent), each node its own at 0, to any depth.
 
-    Links are doubled until none is left, so a tree of depth d takes log2(d) joins.
+    Links are doubled until none is left, so a tree of depth d takes log2(d) joins. Nodes on a circle, or below one, have
+    no root: as a tree of n nodes is no deeper than n, what is still linked after log2(n) rounds is one of these; an error names a document.
     """
     far = cut_lineage(edges.where("parent is not null").select("doc", F.col("ord").alias("node"), F.col("parent").alias("ancestor")))
     reach = edges.select("doc", F.col("ord").alias("node"), F.col("ord").alias("ancestor"), F.lit(0).alias("distance"))
+    most = edges.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
     size = 1
-    while far.limit(1).count():
+    while (left := far.first()) is not None:
+        if size > most:
+            raise ValueError(f"the edges of document {left.doc!r} run in a circle")
         step = far.select("doc", F.col("node").alias("ancestor"), F.col("ancestor").alias("up"))
         onward = reach.join(step, ["doc", "ancestor"]).select("doc", "node", F.col("up").alias("ancestor"), (F.col("distance") + size).alias("distance"))
         reach = cut_lineage(reach.unionByName(onward))
