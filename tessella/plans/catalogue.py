@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import access, text, web
-from tessella.operators import catalog, chunking, keywords, layout, retrieval, sessions, store, vectors
-from tessella.plans.fixtures import frame, sql
+from tessella.operators import answers, catalog, chunking, keywords, layout, retrieval, sessions, store, vectors
+from tessella.plans.shapes import frame, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,17 +96,16 @@ def toc_like_lines(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count(F.when(text.toc_entry(F.col("line")).isNotNull(), 1)).alias("toc_lines"))
 
 
-@query("SELECT id, level, hint FROM (VALUES " + ", ".join([
-    "(0,1,NULL)", "(1,3,NULL)", "(2,1,NULL)", "(3,1,NULL)", "(4,2,NULL)", "(5,3,NULL)", "(6,2,NULL)", "(7,1,NULL)", "(8,1,NULL)", "(9,2,NULL)", "(10,NULL,NULL)", "(11,NULL,NULL)", "(12,NULL,NULL)",
-    "(13,NULL,NULL)", "(14,NULL,NULL)", "(15,NULL,NULL)", "(16,NULL,12)", "(17,NULL,7)", "(18,NULL,9)", "(19,NULL,44)", "(20,NULL,NULL)", "(21,NULL,14)", "(22,NULL,5)", "(23,NULL,NULL)", "(24,NULL,NULL)", "(25,NULL,NULL)"]) + ") AS t(id, level, hint)")
-def heading_levels(spark, sf_dir):
-    return frame(spark, "lines").select("id", text.heading_level(F.col("line")).alias("level"), text.page_hint(F.col("line")).alias("hint"))
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 AND p_partkey BETWEEN 1 AND 5000 THEN p_partkey::INT END AS hint FROM part")
+def page_hints(spark, sf_dir):
+    return frame(spark, sf_dir, "hints").select("p_partkey", text.page_hint(F.col("line")).alias("hint"))
 
 
-@query("SELECT id, roman, chinese, page FROM (VALUES (0,4,NULL,4),(1,1009,NULL,1009),(2,4,NULL,4),(3,4,NULL,4),(4,NULL,105,NULL),(5,NULL,12,NULL),(6,NULL,3001,NULL),(7,NULL,20005,NULL),(8,NULL,NULL,0),(9,NULL,NULL,2),(10,NULL,NULL,NULL),(11,NULL,NULL,NULL),(12,NULL,NULL,12),(13,NULL,NULL,NULL),(14,NULL,0,0),(15,19,NULL,19),(16,NULL,12,12),(17,NULL,NULL,NULL),(18,NULL,NULL,NULL)) AS t(id, roman, chinese, page)")
+@query(f"""SELECT p_partkey, CASE WHEN form = 0 AND n BETWEEN 1 AND 3999 AND length(roman) <= 8 THEN n END AS roman, CASE WHEN form = 1 AND n > 0 THEN n END::BIGINT AS chinese,
+CASE form WHEN 0 THEN CASE WHEN n BETWEEN 1 AND 3999 AND length(roman) <= 8 THEN n END WHEN 1 THEN NULL WHEN 3 THEN 0 ELSE n END::BIGINT AS page FROM {sql("numerals")}""")
 def numerals(spark, sf_dir):
     t = F.col("token")
-    return frame(spark, "numerals").select("id", text.roman_to_int(t).alias("roman"), text.chinese_to_int(t).alias("chinese"), text.coerce_page(t).alias("page"))
+    return frame(spark, sf_dir, "numerals").select("p_partkey", text.roman_to_int(t).alias("roman"), text.chinese_to_int(t).alias("chinese"), text.coerce_page(t).alias("page"))
 
 
 # ---- retrieval ----------------------------------------------------------------------------
@@ -150,10 +149,13 @@ def paginate_results(spark, sf_dir):
     return retrieval.paginate(ranked, 2, 20).select("doc_id", "rank", "page", "pages")
 
 
-@query("SELECT id, CASE id WHEN 0 THEN 1 WHEN 1 THEN 9 WHEN 2 THEN 7 WHEN 3 THEN 2 WHEN 4 THEN 9 WHEN 5 THEN 1 WHEN 6 THEN 6 END AS target FROM range(8) t(id)")
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 9 WHEN 2 THEN least(9, c + 2) WHEN 3 THEN greatest(1, c - 3) WHEN 4 THEN 9 WHEN 5 THEN 1 WHEN 6 THEN least(9, greatest(1, event_id % 14)) WHEN 7 THEN NULL ELSE NULL END::INT AS target
+FROM (SELECT event_id, 1 + user_id % 9 AS c FROM events)""")
 def page_commands(spark, sf_dir):
-    c = spark.createDataFrame(list(enumerate(["first", "last", "+2", "-3", "+99", "-99", "6", "x"])), "id long, command string")
-    return c.select("id", retrieval.page_command(F.col("command"), F.lit(5), F.lit(9)).alias("target"))
+    e = F.col("event_id")
+    forms = [*map(F.lit, ("first", " LAST", "+2", "-3", "+99", "-99")), (e % 14).cast("string"), F.lit("x"), F.lit("")]
+    c = read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*forms), (e % 9 + 1).cast("int")).alias("command"), (1 + F.col("user_id") % 9).cast("int").alias("now"))
+    return c.select("event_id", retrieval.page_command(F.col("command"), F.col("now"), F.lit(9)).alias("target"))
 
 
 @query("SELECT source, doc_id, running FROM (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS running FROM documents) WHERE running <= 18000")
@@ -250,18 +252,18 @@ RANGES = f"""SELECT doc, ord, regexp_replace(trim(title), '^#\\s*', '') AS title
 
 @query(RANGES)
 def catalog_ranges(spark, sf_dir):
-    return catalog.ranges(frame(spark, "markers"), F.lit(12))
+    return catalog.ranges(frame(spark, sf_dir, "markers"), F.lit(12))
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT doc, ord, title, level, (SELECT max(p.ord) FROM {M} p WHERE p.doc = x.doc AND p.ord < x.ord AND p.level < x.level) AS parent FROM {M} x),
 r AS (SELECT doc, ord, title AS path FROM m WHERE parent IS NULL UNION ALL SELECT m.doc, m.ord, r.path || '/' || m.title FROM m JOIN r ON r.doc = m.doc AND r.ord = m.parent) SELECT doc, ord, path FROM r""")
 def catalog_paths(spark, sf_dir):
-    return catalog.paths(frame(spark, "markers")).select("doc", "ord", "path")
+    return catalog.paths(frame(spark, sf_dir, "markers")).select("doc", "ord", "path")
 
 
 @query(f"""SELECT doc, page, ord, level FROM (SELECT p.doc, p.page, r.ord, r.level, row_number() OVER (PARTITION BY p.doc, p.page ORDER BY r.level DESC, r."end" - r.start, r.start, r.ord) AS k FROM {sql("pages")} p JOIN ({RANGES}) r ON r.doc = p.doc AND p.page BETWEEN r.start AND r."end") WHERE k = 1""")
 def page_best_section(spark, sf_dir):
-    return catalog.best_section(frame(spark, "pages"), catalog.ranges(frame(spark, "markers"), F.lit(12))).select("doc", "page", "ord", "level")
+    return catalog.best_section(frame(spark, sf_dir, "pages"), catalog.ranges(frame(spark, sf_dir, "markers"), F.lit(12))).select("doc", "page", "ord", "level")
 
 
 SEG = f"(SELECT *, sum((level = 1)::INT) OVER (PARTITION BY doc ORDER BY ord) AS seg, {KEY.format('title')} AS key FROM {M})"
@@ -271,14 +273,14 @@ SEG = f"(SELECT *, sum((level = 1)::INT) OVER (PARTITION BY doc ORDER BY ord) AS
 h AS (SELECT doc, page AS hp, {KEY.format('text')} AS key FROM {sql("headings")})
 SELECT m.doc, m.ord, coalesce((SELECT min(hp) FROM h WHERE h.doc = m.doc AND h.key = m.key AND hp >= coalesce(s.lo, 1) AND (s.hi IS NULL OR hp < greatest(s.hi, s.lo + 1))), m.page) AS page FROM m LEFT JOIN s ON s.doc = m.doc AND s.seg = m.seg""")
 def marker_remap(spark, sf_dir):
-    return catalog.remap_by_hits(frame(spark, "markers"), frame(spark, "headings")).select("doc", "ord", "page")
+    return catalog.remap_by_hits(frame(spark, sf_dir, "markers"), frame(spark, sf_dir, "headings")).select("doc", "ord", "page")
 
 
 @query(f"""WITH m AS {SEG}, h AS (SELECT DISTINCT doc, {KEY.format('text')} AS key FROM {sql("headings")}),
 l AS (SELECT doc, max(seg) AS last, count(DISTINCT seg) AS n FROM m SEMI JOIN h USING (doc, key) GROUP BY doc), c AS (SELECT doc, max(seg) AS segs FROM m GROUP BY doc)
 SELECT m.doc, m.ord FROM m JOIN c USING (doc) LEFT JOIN l USING (doc) WHERE NOT coalesce(n >= 2 AND segs - last >= 2, FALSE) OR seg <= last""")
 def tail_prune(spark, sf_dir):
-    return catalog.prune_tail(frame(spark, "markers"), frame(spark, "headings")).select("doc", "ord")
+    return catalog.prune_tail(frame(spark, sf_dir, "markers"), frame(spark, sf_dir, "headings")).select("doc", "ord")
 
 
 @query(f"""WITH p AS {sql("pages")}, a AS {sql("anchors")},
@@ -286,13 +288,13 @@ b AS (SELECT p.doc, p.page, lo.src AS ls, lo.dst AS ld FROM p ASOF LEFT JOIN a l
 c AS (SELECT b.*, hi.src AS hs, hi.dst AS hd FROM b ASOF LEFT JOIN a hi ON hi.doc = b.doc AND hi.src >= b.page)
 SELECT doc, page, greatest(1, least(12, CASE WHEN ls IS NULL AND hs IS NULL THEN page WHEN ls IS NULL THEN page + hd - hs WHEN hs IS NULL THEN page + ld - ls WHEN ls = page THEN ld ELSE round_even(ld + (page - ls) / (hs - ls)::DOUBLE * (hd - ld), 0) END))::INT AS mapped FROM c""")
 def page_projection_asof(spark, sf_dir):
-    return catalog.project_pages(frame(spark, "pages"), frame(spark, "anchors"), 12)
+    return catalog.project_pages(frame(spark, sf_dir, "pages"), frame(spark, sf_dir, "anchors"), 12)
 
 
 @query(f"""WITH s AS (SELECT doc, page, string_split(path, '/') AS ps FROM {sql("sections")} WHERE path <> ''), e AS (SELECT DISTINCT doc, page, k AS level, array_to_string(ps[1:k], '/') AS path FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM s)),
 g AS (SELECT *, page - row_number() OVER (PARTITION BY doc, path ORDER BY page) AS g FROM e) SELECT doc, path, level::INT AS level, min(page) AS start, max(page) AS "end" FROM g GROUP BY doc, path, level, g""")
 def section_runs(spark, sf_dir):
-    return catalog.section_runs(frame(spark, "sections"))
+    return catalog.section_runs(frame(spark, sf_dir, "sections"))
 
 
 A, B = sql("sections"), sql("sections_2")
@@ -303,18 +305,18 @@ m AS (SELECT doc, round(avg((coalesce(a.path, '') = coalesce(b.path, ''))::INT::
 n AS (SELECT doc, count(*) FILTER (WHERE x AND y) AS nboth, count(x) AS na, count(y) AS nb FROM (SELECT *, TRUE AS x FROM ca) FULL JOIN (SELECT *, TRUE AS y FROM cb) USING (doc, page) GROUP BY doc)
 SELECT doc, matched, round(CASE WHEN na > 0 THEN nboth / na::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN nb > 0 THEN nboth / nb::DOUBLE ELSE 0 END, 6) AS recall, round(CASE WHEN na + nb > 0 THEN 2 * nboth / (na + nb)::DOUBLE ELSE 0 END, 6) AS f1 FROM m LEFT JOIN n USING (doc)""")
 def boundary_f1(spark, sf_dir):
-    return catalog.boundary_scores(*(frame(spark, x).withColumnRenamed("path", "section") for x in ("sections", "sections_2")))
+    return catalog.boundary_scores(*(frame(spark, sf_dir, x).withColumnRenamed("path", "section") for x in ("sections", "sections_2")))
 
 
 @query(f"SELECT doc, ord, (SELECT max(p.ord) FROM {M} p WHERE p.doc = x.doc AND p.ord < x.ord AND p.level < x.level) AS parent FROM {M} x")
 def tree_parents(spark, sf_dir):
-    return catalog.tree_edges(frame(spark, "markers")).select("doc", "ord", "parent")
+    return catalog.tree_edges(frame(spark, sf_dir, "markers")).select("doc", "ord", "parent")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT doc, ord, (SELECT max(p.ord) FROM {M} p WHERE p.doc = x.doc AND p.ord < x.ord AND p.level < x.level) AS parent FROM {M} x),
 r AS (SELECT doc, ord AS node, ord AS anc, 0 AS distance FROM e UNION ALL SELECT r.doc, r.node, e.parent, distance + 1 FROM r JOIN e ON e.doc = r.doc AND e.ord = r.anc WHERE e.parent IS NOT NULL) SELECT doc, node, anc AS ancestor, distance FROM r""")
 def tree_flatten(spark, sf_dir):
-    return catalog.closure(catalog.tree_edges(frame(spark, "markers")))
+    return catalog.closure(catalog.tree_edges(frame(spark, sf_dir, "markers")))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT doc, ord, (SELECT max(p.ord) FROM {M} p WHERE p.doc = x.doc AND p.ord < x.ord AND p.level < x.level) AS parent FROM {M} x),
@@ -322,12 +324,12 @@ r AS (SELECT doc, ord AS node, ord AS anc FROM e UNION ALL SELECT r.doc, r.node,
 l AS (SELECT t.* FROM {sql("texts")} t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc = t.doc AND e.parent = t.ord))
 SELECT r.doc, anc AS ord, coalesce(string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) || chr(10) ORDER BY l.ord), '') AS merged, min(page) AS first_page, max(page) AS last_page FROM r JOIN l ON l.doc = r.doc AND l.ord = r.node GROUP BY 1, 2""")
 def subtree_rollup(spark, sf_dir):
-    return catalog.roll_up(catalog.tree_edges(frame(spark, "markers")), frame(spark, "texts"))
+    return catalog.roll_up(catalog.tree_edges(frame(spark, sf_dir, "markers")), frame(spark, sf_dir, "texts"))
 
 
 @query(f"""SELECT doc, ord, repeat('│  ', level - 1) || CASE WHEN nxt IS NULL OR nxt < level THEN '└─ ' ELSE '├─ ' END || title || ' (' || start || '-' || "end" || ')' AS line FROM (SELECT *, lead(level) OVER (PARTITION BY doc ORDER BY start, level, "end" DESC, title) AS nxt FROM ({RANGES}))""")
 def catalog_print(spark, sf_dir):
-    r = catalog.ranges(frame(spark, "markers"), F.lit(12)).withColumnRenamed("start", "page")
+    r = catalog.ranges(frame(spark, sf_dir, "markers"), F.lit(12)).withColumnRenamed("start", "page")
     return catalog.catalog_lines(r).select("doc", "ord", "line")
 
 
@@ -387,9 +389,11 @@ def ivf_probe(spark, sf_dir):
     return vectors.probe(cells, centres, queries, 10)
 
 
-@query(f"SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND max(round(exp(-distance), 6)) > 0.8 THEN arg_max(vec_id, exp(-distance)) END AS answer FROM ({KNN})")
+@query(f"""WITH h AS ({KNN}), r AS (SELECT vec_id, round(exp(-distance), 6) AS score, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM h) SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND max(score) > 0.8 THEN arg_max(vec_id, (score, -rank))::VARCHAR END AS answer FROM r""")
 def answer_gate(spark, sf_dir):
-    return _hits(spark, sf_dir).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (F.max("score") > 0.8), F.max_by("vec_id", "score")).alias("answer"))
+    h = _hits(spark, sf_dir)  # 24 rows
+    ranked = h.select(F.col("vec_id").cast("string").alias("text"), "score", F.row_number().over(Window.orderBy("distance", "vec_id")).alias("rank"))
+    return answers.gate(ranked)
 
 
 # ---- web and references -------------------------------------------------------------------
@@ -421,9 +425,10 @@ def url_domain(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.domain(F.col("url")).alias("domain"))
 
 
-@query("SELECT id, out FROM (VALUES (0, 'http://www.a.com:80/x?y=1'), (1, 'https://a.com'), (2, 'https://10.0.0.1/z'), (3, 'HTTPS://B.org'), (4, 'not a url'), (5, ''), (6, 'ftp://c.net/q'), (7, 'localhost'), (8, 'https://x-y.co.uk/p')) t(id, out)")
+@query("""SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'https://' || regexp_replace(url, '^https?://', '') WHEN 3 THEN 'not a url ' || page_id WHEN 4 THEN 'HTTP' || substr(url, 5) WHEN 5 THEN 'ftp://h/' || page_id
+WHEN 6 THEN 'https://10.0.0.' || (page_id % 256) || ':80/x' ELSE url END AS out FROM pages""")
 def url_normalise(spark, sf_dir):
-    return frame(spark, "urls").select("id", web.normalise_url(F.col("url")).alias("out"))
+    return frame(spark, sf_dir, "urls").select("page_id", web.normalise_url(F.col("url")).alias("out"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':.*$', ''), '^www\.', '') || ' | search_web[1][' || (page_id + 1) || '].link' AS masked FROM pages")
@@ -460,7 +465,7 @@ def nth_call(spark, sf_dir):
 
 @query(f"SELECT session, ord, scope FROM {sql('calls')} WHERE scope = 'a' OR starts_with(scope, 'a>')")
 def scope_filter(spark, sf_dir):
-    return sessions.in_scope(frame(spark, "calls"), "a").select("session", "ord", "scope")
+    return sessions.in_scope(frame(spark, sf_dir, "calls"), "a").select("session", "ord", "scope")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
@@ -511,7 +516,7 @@ def upsert_entries(spark, sf_dir):
 
 
 @query("SELECT n_nationkey, c.n AS customers, s.n AS suppliers, round(c.bal, 2) AS balance FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n, sum(c_acctbal) AS bal FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
-def store_statistics(spark, sf_dir):
+def star_statistics(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_nationkey")
     c = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("b"))
     s = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
@@ -529,7 +534,9 @@ def header_footer_freq(spark, sf_dir):
     return layout.edge_lines(c)
 
 
-@query("SELECT id, format('2024-01-01 INFO node-{} request {} took {} ms', id % 100, id, id * 7 % 1000) AS line FROM range(1000) t(id)")
+@query("SELECT event_id, format('{} INFO node-{} request {} took {} ms', strftime(ts, '%Y-%m-%d %H:%M:%S'), user_id % 100, event_id, floor(value * 7)::BIGINT) AS line FROM events")
 def log_lines(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(1000).select("id", F.format_string("2024-01-01 INFO node-%d request %d took %d ms", i % 100, i, i * 7 % 1000).alias("line"))
+    """Lines of a log, one for each event."""
+    e = read(spark, sf_dir, "events")
+    line = F.format_string("%s INFO node-%d request %d took %d ms", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("user_id") % 100, "event_id", F.floor(F.col("value") * 7))
+    return e.select("event_id", line.alias("line"))

@@ -40,6 +40,12 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc, page, {KEY.format('title')}
 SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY page, level, line))::INT AS ord, title, page, level FROM f WHERE j = 1)"""
 
 
+@query(f"SELECT doc, page, line, ({LEVEL})::INT AS level FROM {LINES}")
+def heading_levels(spark, sf_dir):
+    """The level of every line of all documents that is a heading, null for the others."""
+    return trees.lines(paged(spark, sf_dir)).select("doc", "page", "line", text.heading_level(F.col("text")).alias("level"))
+
+
 @query(f"SELECT * FROM {MARKERS}")
 def text_markers(spark, sf_dir):
     return trees.text_markers(paged(spark, sf_dir)).drop("kind")
@@ -334,11 +340,13 @@ def json_values(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", nested.json_or_text(raw).alias("v")).select("event_id", "v.*")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE '{\"a\":' || event_id || '}' END AS json FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"type":"' || event_type || '"' ELSE '' END || ',"p":' || replace(props, ' ', '') || ',"e":[' || event_id || ']}' END AS json FROM events""")
 def json_pruned(spark, sf_dir):
+    """Each event as JSON with empty fields at all depths, which go."""
     i = F.col("event_id")
-    raw = F.when(i % 2 == 0, F.lit('{"b": [null, "", {}], "c": {"d": []}}')).otherwise(F.format_string('{"a": %d, "b": [null, {"c": ""}], "d": ""}', i))
-    return read(spark, sf_dir, "events").select("event_id", nested.prune(raw).alias("json"))
+    empty = F.lit('{"b": [null, "", {}], "c": {"d": [[], {"x": null}]}}')
+    full = F.format_string('{"id": %d, "type": "%s", "p": %s, "e": [null, {"c": ""}, %d], "n": {"m": []}}', i, F.when(i % 2 == 0, F.col("event_type")).otherwise(""), "props", i)
+    return read(spark, sf_dir, "events").select("event_id", nested.prune(F.when(i % 5 == 0, empty).otherwise(full)).alias("json"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 10 = 0 THEN NULL ELSE round(l_quantity * l_linenumber + power(l_linenumber, 2) / 2, 6)::DOUBLE END AS value FROM lineitem")
