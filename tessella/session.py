@@ -50,19 +50,27 @@ def ship_package(spark: SparkSession) -> None:
     sc._tessella_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir, which executors share; it survives their loss.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which executors share and whose files survive their loss.
 
     Only a session on one machine that names no such folder gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="tessella-checkpoints-")
-        sc.setCheckpointDir(folder)
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="tessella-checkpoints-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
