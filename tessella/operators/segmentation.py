@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import ship_package
+from tessella.operators.keywords import by_term
+from tessella.session import cut_lineage, ship_package
 
 #: Signs that may join words, signs that words may be merged across, stop words, and limits.
 CONNECTORS = ["·", "・", "･", "-", "'", "’", "."]
@@ -159,23 +160,98 @@ def positive_pmi(tokens: list[str], probabilities: list[float], least: int = LEA
     return phrases, probs, owner
 
 
-def transition_chain(tokens: list[str], probabilities: list[float], bits: float = CHAIN_BITS, most: int = CHAIN_TOKENS) -> Segments:
-    """A token takes its successors with it while these are likely (-log2 p below `bits`), up to `most` tokens."""
+class Patterns:
+    """Token sequences as a trie: the longest one that begins at a place is found by one walk."""
+
+    END = object()
+
+    def __init__(self, patterns=()):
+        self.root: dict = {}
+        for p in patterns:
+            node = self.root
+            for token in p:
+                node = node.setdefault(token, {})
+            node[self.END] = True
+
+    def longest(self, tokens: list[str], at: int, end: int) -> int:
+        """How many tokens from `at`, before `end`, the longest pattern there takes; 0 for none."""
+        node, best = self.root, 0
+        for i in range(at, end):
+            node = node.get(tokens[i])
+            if node is None:
+                break
+            if self.END in node:
+                best = i + 1 - at
+        return best
+
+
+def chain_patterns(tokens: list[str], probabilities: list[float], bits: float = CHAIN_BITS, most: int = CHAIN_TOKENS) -> list[tuple[str, ...]]:
+    """Per distinct token the chain of its likeliest successors.
+
+    A pair's probability is the second token's where the pair occurs last; a successor is likely if -log2 of it is below
+    `bits`, the likeliest goes on, of equal ones that which occurs last, and no pair twice. Tokens that break are in no chain.
+    """
+    last: dict[str, dict[str, int]] = {}
+    for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False), 1):
+        last.setdefault(a, {})[b] = i
+    ranked: dict[str, list[str]] = {}
+    for a, after in last.items():
+        likely = [(probabilities[i], i, b) for b, i in after.items() if math.isfinite(probabilities[i]) and probabilities[i] > 2.0**-bits and token_class(b) != "break"]
+        ranked[a] = [b for _, _, b in sorted(likely, reverse=True)]
+    out = []
+    for token in dict.fromkeys(t for t in tokens if token_class(t) != "break"):
+        chain, used = [token], {}
+        while len(chain) < most:
+            nth = used.get(chain[-1], 0)  # a token met again goes on by its next best successor
+            options = ranked.get(chain[-1], [])
+            if nth >= len(options):
+                break
+            used[chain[-1]] = nth + 1
+            chain.append(options[nth])
+        out.append(tuple(chain))
+    return out
+
+
+def transition_chain(tokens: list[str], probabilities: list[float], bits: float = CHAIN_BITS, most: int = CHAIN_TOKENS, harmonic: bool = False) -> Segments:
+    """The longest chain pattern (or one token) at each place, from the left. A phrase's probability is the product, or the harmonic mean, of its tokens'."""
     n = min(len(tokens), len(probabilities))
+    tokens, known = list(tokens[:n]), Patterns(chain_patterns(tokens[:n], probabilities[:n], bits, most))
     phrases, probs, owner, i = [], [], [-1] * n, 0
     while i < n:
-        if token_class(tokens[i]) != "content":
+        if token_class(tokens[i]) == "break":
             i += 1
             continue
+        size = max(1, known.longest(tokens, i, n))
+        p = [max(x, FLOOR) for x in probabilities[i : i + size]]
+        owner[i : i + size] = [len(phrases)] * size
+        phrases.append("".join(tokens[i : i + size]).strip() or tokens[i])
+        probs.append(max(size / math.fsum(1 / x for x in p), FLOOR) if harmonic else max(math.exp(math.fsum(map(math.log, p))), FLOOR))
+        i += size
+    return phrases, probs, owner
+
+
+#: Tokens of an anchored run, and signs that end one.
+RUN_TOKENS, RUN_ENDS = 24, re.compile("[。！？.!?]")
+
+
+def anchored_runs(tokens: list[str], probabilities: list[float], anchor: float, follower: float, k: int = 100) -> list[tuple[int, float, str]]:
+    """(place, probability, phrase) of the k (1 to 100) least likely anchors: a token of at most `anchor`, and likely ones (`follower` at least) after it.
+
+    A run ends before a line end and an unlikely token, and with a token that ends a sentence. Blank ones are named by what they are.
+    """
+    n, found = min(len(tokens), len(probabilities)), []
+    for i in range(n):
+        if not math.isfinite(probabilities[i]) or probabilities[i] > anchor:
+            continue
         j = i + 1
-        while j < n and j - i < most and token_class(tokens[j]) == "content" and -math.log2(max(probabilities[j], FLOOR)) < bits:
+        while j < min(n, i + RUN_TOKENS) and probabilities[j] >= follower and "\n" not in tokens[j]:
             j += 1
-        for k in range(i, j):
-            owner[k] = len(phrases)
-        phrases.append("".join(tokens[i:j]).strip())
-        probs.append(max(math.prod(max(p, FLOOR) for p in probabilities[i:j]), FLOOR))
-        i = j
-    return phrases, probs, owner
+            if RUN_ENDS.search(tokens[j - 1]):
+                break
+        phrase = " ".join("".join(tokens[i:j]).split())
+        shown = "".join({"\n": "\\n", "\t": "\\t", "\r": "\\r"}.get(c, c) for c in tokens[i]).strip()
+        found.append((probabilities[i], i, phrase or shown or f"<WS@{i}>"))
+    return [(i, p, phrase) for p, i, phrase in sorted(found, key=lambda x: x[:2])[: max(1, min(k, 100))]]
 
 
 def dictionary_words(tokens: list[str], probabilities: list[float], words: list[str]) -> Segments:
@@ -206,6 +282,7 @@ def dictionary_words(tokens: list[str], probabilities: list[float], words: list[
 
 register(DEFAULT, positive_pmi)
 register("transition-chain", transition_chain)
+register("transition-chain-hmean", lambda tokens, p: transition_chain(tokens, p, harmonic=True))
 
 
 def segment(docs: DataFrame, name: str | None = None) -> DataFrame:
@@ -237,17 +314,36 @@ def segment(docs: DataFrame, name: str | None = None) -> DataFrame:
     return docs.select("doc_id", "tokens", "probabilities").mapInArrow(run, f"doc_id {kind}, pos int, phrase string, p double, tokens int")
 
 
+def anchored_phrases(docs: DataFrame, anchor: float, follower: float, k: int = 100) -> DataFrame:
+    """(doc_id, rank, pos, p, phrase) of docs (doc_id, tokens, probabilities: arrays): each document's anchored runs, the least likely first."""
+    ship_package(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, *x) for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for n, x in enumerate(anchored_runs(t or [], p or [], anchor, follower, k), 1)]
+            at, *rest = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["doc_id", "rank", "pos", "p", "phrase"])
+
+    return docs.select("doc_id", "tokens", "probabilities").mapInArrow(run, f"doc_id {kind}, rank int, pos int, p double, phrase string")
+
+
 def corpus_tokens(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as tokens (words, runs of white space, single other signs) and their shares in the corpus.
 
     The shares stand for a language model's probabilities, which need weights that aren't here.
     """
     t = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+|\s+|[^\w\s])"), 1)
-    rows = docs.select("doc_id", F.posexplode(t).alias("pos", "token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("c"))
+    # a row per row of docs and distinct token, made where the text is read, so the blank is no larger a key than any common word
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", t.alias("ts"))
+    rows = cut_lineage(numbered.select("row", "doc_id", F.posexplode("ts").alias("pos", "token")).groupBy("row", "doc_id", "token").agg(F.collect_list("pos").alias("at")))
+    counts = rows.groupBy("token").agg(F.sum(F.size("at")).alias("c"))
     total = counts.agg(F.sum("c").alias("all"))
-    p = counts.join(F.broadcast(total)).select("token", (F.col("c") / F.col("all")).alias("p"))
-    lists = rows.join(p, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "p"))).alias("l"))
+    p = counts.join(F.broadcast(total)).select(F.col("token").alias("term"), (F.col("c") / F.col("all")).alias("p"))
+    each = by_term(rows.withColumnRenamed("token", "term"), p)
+    placed = F.transform(F.col("at"), lambda i: F.struct(i.alias("pos"), F.col("term").alias("token"), F.col("p").alias("p")))
+    lists = each.select("row", "doc_id", placed.alias("l")).groupBy("row", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
     return lists.select("doc_id", F.transform("l", lambda x: x["token"]).alias("tokens"), F.transform("l", lambda x: x["p"]).alias("probabilities"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import markdown, mathematics, nested, text, web
-from tessella.operators import alignment, answers, catalog, keywords, layout, retrieval, segmentation, sessions, store, trees, vectors
+from tessella.functions import blocks, markdown, mathematics, nested, text, web
+from tessella.operators import alignment, answers, catalog, figures, keywords, layout, retrieval, segmentation, sessions, store, trees, vectors
 from tessella.operators.chunking import chunks
 from tessella.plans.catalogue import CHUNK_SQL, DIST, KEY, ROWS_SQL, TFIDF, query, read
 
@@ -365,6 +365,45 @@ def phrase_segments(spark, sf_dir):
     return got.groupBy("doc_id").agg(F.count("*").alias("phrases"), F.sum("tokens").alias("tokens"))
 
 
+@query()
+def transition_segments(spark, sf_dir):
+    """Phrases of all documents by the longest of their own chains of likely successors."""
+    got = segmentation.segment(segmentation.corpus_tokens(read(spark, sf_dir, "documents")), "transition-chain")
+    return got.groupBy("doc_id").agg(F.count("*").alias("phrases"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+
+
+@query()
+def anchored_phrases(spark, sf_dir):
+    """The ten runs of each document that begin with its rarest tokens and go on with common ones."""
+    return segmentation.anchored_phrases(segmentation.corpus_tokens(read(spark, sf_dir, "documents")), 1e-3, 5e-3, 10).drop("p")
+
+
+@query()
+def block_slots(spark, sf_dir):
+    """The paragraphs of every document dealt to one to seven slots."""
+    n = (F.col("doc_id") % 7 + 1).cast("int")
+    d = read(spark, sf_dir, "documents").select("doc_id", blocks.slots_of(F.split(F.coalesce("text", F.lit("")), "\n"), n).alias("s"))
+    return d.select("doc_id", F.posexplode("s").alias("slot", "text")).withColumn("text", F.md5("text"))
+
+
+CAPTIONS = ["系统架构图", "前面板", "指示灯说明", "内部组件", "安装步骤", "刀片正面", "其他", " "]
+
+
+def illustrated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Images and captions of the lines of all orders, a section for each return flag."""
+    k, kinds = F.col("l_partkey"), F.array(F.lit("image/png"), F.lit("image/jpeg"), F.lit("image/svg+xml"), F.lit(None).cast("string"))
+    r = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("at"))
+    r = r.agg(F.min("l_returnflag").alias("section"), F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
+    images = r.select("doc", "section", "at", F.element_at(kinds, (k % 4 + 1).cast("int")).alias("media_type"), F.format_string("image %d.jpg", k % 5).alias("filename"), (k * 9973 % 200_000).alias("size"), (F.col("q") * 10).alias("width"), F.lit(100).alias("height"))
+    words = F.element_at(F.array(*[F.lit(x) for x in CAPTIONS]), (F.col("s") % 8 + 1).cast("int"))
+    return images, r.where("q % 3 > 0").select("doc", "section", "at", words.alias("caption"))
+
+
+@query()
+def figure_captions(spark, sf_dir):
+    return figures.images_to_captions(*illustrated(spark, sf_dir))
+
+
 @query("WITH RECURSIVE t AS (SELECT doc_id, lower(text) AS s FROM documents), c AS (SELECT doc_id, unnest(regexp_extract_all(s, '[\\p{L}\\p{M}\\p{N}_]+')) AS w FROM t) SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[0-9]+$') OR length(w) = 1 AND NOT regexp_matches(w, '[一-鿿]')) AS noise FROM c GROUP BY doc_id")
 def noise_terms(spark, sf_dir):
     w = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("w"))
@@ -373,8 +412,19 @@ def noise_terms(spark, sf_dir):
     return few.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(noisy("w"), F.col("n"))), F.lit(0)).alias("noise"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents")
+@query()
 def rendered_pages(spark, sf_dir):
+    """The six pages of each document as Markdown: its markers as headings, images at captions and below, notes at the marks and at the end."""
+    p = paged(spark, sf_dir)
+    marks = trees.text_markers(p).groupBy("doc", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "level"))), lambda x: F.struct(x["title"].alias("title"), x["level"].alias("level"))).alias("marks"))
+    cut = markdown.split_citations(F.concat(F.col("text"), F.format_string("\n• Point[^%d]\nFigure %d: shape\na\tb\n1\t%d\n[^%d]: note %d", "page", "page", "doc", "page", "doc")))
+    rows = p.join(marks, ["doc", "page"], "left").withColumn("cut", cut)
+    md = markdown.render(F.col("cut.body"), F.coalesce("marks", F.array().cast("array<struct<title:string,level:int>>")), F.col("page"), (F.col("doc") % 3).cast("int"), F.col("cut.citations"))
+    return rows.select("doc", "page", md.alias("md")).select("doc", "page", F.md5("md").alias("md5"), F.length("md").alias("n"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents")
+def rendered_lines(spark, sf_dir):
     """Each document as one page of Markdown: no line is lost."""
     none = F.array().cast("array<struct<title:string,level:int>>")
     md = markdown.render(F.col("text"), none, F.lit(1), F.lit(0), F.array().cast("array<string>"))
