@@ -49,8 +49,16 @@ def _dots(c: Column) -> Column:
 
 def heading_level(c: Column) -> Column:
     """1 to 6 for a heading, else null. A number followed by a blank counts the dots of the whole line."""
+    return stripped_level(strip(F.coalesce(c, F.lit(""))))
+
+
+#: How a stripped line begins that can be a heading; most lines fail this one test.
+HEADING_START = r"(?i)^(?:#|\d|chapter|part|section|第|序|前言|引言|后|尾记|跋|附)"
+
+
+def stripped_level(t: Column) -> Column:
+    """heading_level of text that is stripped already."""
     # fixed values: the patterns below, and their levels
-    t = strip(F.coalesce(c, F.lit("")))
     hashes = F.regexp_extract(t, r"^(#{1,6})(?U)\s+", 1)
     numbered = F.regexp_extract(t, r"^(\d+(?:\.\d+){0,5})(?U)\s*[一-鿿A-Za-z（(]", 1)
     return (

@@ -97,13 +97,15 @@ def records(pages: DataFrame, pattern: str, html: str = "html", top_k: int = 10,
     groups = _groups(pattern)
     found = F.arrays_zip(*[F.regexp_extract_all(text, java, groups[n]).alias(n) for n in ("link", "title", "snippet") if n in groups])
     rest = [c for c in pages.columns if c != html]
-    rows = pages.select(*rest, F.posexplode(found).alias("at", "r")).select(*rest, "at", "r.*")
+    # rows are told apart by number, as two may be equal and a column may not compare
+    numbered = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest).alias("_rest"), found.alias("_found"))
+    rows = numbered.select("_row", "_rest", F.posexplode("_found").alias("at", "r")).select("_row", "_rest", "at", "r.*")
     rows = rows.withColumn("link", strip(unescape(F.col("link")))).where(F.col("link").rlike("(?i)^https?://"))
     rows = rows.withColumns({n: plain_text(F.col(n)) if n in groups else F.lit("") for n in ("title", "snippet")})
-    rows = rows.groupBy(*rest, "link").agg(F.min(F.struct("at", "title", "snippet")).alias("r")).select(*rest, "link", "r.*")
-    w = Window.partitionBy(*rest).orderBy("at")
+    rows = rows.groupBy("_row", "link").agg(F.min(F.struct("at", "title", "snippet")).alias("r"), F.first("_rest").alias("_rest")).select("_row", "_rest", "link", "r.*")
+    w = Window.partitionBy("_row").orderBy("at")
     rows = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= top_k)
-    return rows.withColumn("title", F.when(F.col("title") == "", F.col("link")).otherwise(F.col("title"))).select(*rest, "at", "link", "title", "snippet")
+    return rows.withColumn("title", F.when(F.col("title") == "", F.col("link")).otherwise(F.col("title"))).select("_rest.*", "at", "link", "title", "snippet")
 
 
 def _groups(pattern: str) -> dict[str, int]:

@@ -67,6 +67,23 @@ def clustered(vectors: DataFrame, lists: int, seed: int = 1) -> tuple[DataFrame,
     return model.transform(rows).drop("_v"), spark.createDataFrame(centres, "cell int, centre array<double>")
 
 
+#: Cells at most, rows of queries and cells that are broadcast, and parts that a cell is dealt to beyond that.
+MOST_CELLS, BROADCAST_PROBES, SALTS = 65_536, 50_000, 16
+
+
+def cells_for(rows: int) -> int:
+    """About the square root of the vectors' number."""
+    return max(1, min(MOST_CELLS, round(rows**0.5)))
+
+
+def _by_cell(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """vectors with the queries of their cell; chosen is broadcast only if it is counted small, else both are dealt by cell and salt."""
+    if chosen.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES:
+        return vectors.join(F.broadcast(chosen), "cell")
+    salted = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return vectors.withColumn("_salt", F.pmod(F.hash("vec_id"), F.lit(SALTS))).join(salted, ["cell", "_salt"]).drop("_salt")
+
+
 def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
     """(query_id, vec_id, distance): each query's k nearest, exactly. queries: (query_id, query).
 
@@ -76,13 +93,13 @@ def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, prob
     root = F.sqrt(squared_distance(F.col("embedding"), F.col("centre")))
     radius = vectors.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.max(F.coalesce(root, F.lit(0.0))).alias("radius"))
     to_centre = F.coalesce(F.sqrt(squared_distance(F.col("centre"), F.col("query"))), F.lit(0.0))
-    plan = queries.crossJoin(F.broadcast(cells.join(radius, "cell"))).withColumn("_to", to_centre)
+    plan = queries.crossJoin(F.broadcast(cells.join(radius, "cell"))).withColumn("_to", to_centre)  # at most MOST_CELLS centres
     w = Window.partitionBy("query_id").orderBy("_to", "cell")
     plan = plan.withColumn("_rank", F.row_number().over(w)).select("query_id", "query", "cell", "radius", "_to", "_rank")
     plan = cut_lineage(plan)
 
     def found(chosen: DataFrame) -> DataFrame:
-        pairs = vectors.join(F.broadcast(chosen.select("query_id", "query", "cell")), "cell")
+        pairs = _by_cell(vectors, chosen.select("query_id", "query", "cell"))
         pairs = pairs.select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
         top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return pairs.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k)

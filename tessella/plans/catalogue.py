@@ -384,7 +384,7 @@ def multi_db_merge(spark, sf_dir):
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, {DIST} AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 10")
 def ivf_probe(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    cells, centres = vectors.clustered(e, 16)
+    cells, centres = vectors.clustered(e, vectors.cells_for(e.count()))
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.probe(cells, centres, queries, 10)
 
