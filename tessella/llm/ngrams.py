@@ -32,6 +32,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -215,21 +216,21 @@ def _read_npz(uri: str) -> dict:
 
 def packed(x: np.ndarray) -> bytes:
     """64-bit numbers, byte plane by byte plane: high bytes are mostly 0."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def packed_values(x: np.ndarray) -> bytes:
     """16-bit numbers, the low bytes, then the high ones, which are much alike."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
 
 
 def unpacked_values(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1)
     return np.ascontiguousarray(planes.T).view("<u2").ravel()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 

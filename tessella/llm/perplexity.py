@@ -29,6 +29,8 @@ CAPITALS, SMALL = bytes(range(65, 91)), bytes(range(97, 123))
 MIN_WORDS = 50
 #: The model learns from texts with at most so many symbols a word, and so many capitals a letter (A to Z).
 SYMBOLS_A_WORD, CAPITALS_A_LETTER = 0.1, 0.3
+#: Bytes of text in a block of the query, which has a worker's memory for itself; the larger, the fewer n-grams are sent twice.
+QUERY_BLOCK = 8_000_000
 #: Languages whose bands are broadcast.
 LANGUAGES = 10_000
 
@@ -141,6 +143,6 @@ def quality(docs: DataFrame, block: int = ngrams.BLOCK) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by their own language column."""
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), QUERY_BLOCK).select(
         "doc_id", *METRICS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity")
     )
