@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, prepare, table, written
+from tessella.llm.common import Scratch, prepare, table
 
 #: Where a line stands: left out whatever is shared, undecided, in the main part, in an article.
 OUT, OPEN, MAIN, ARTICLE = -1, 0, 1, 2
@@ -236,12 +236,23 @@ def _pages(batches) -> Iterator[tuple]:
             yield page_id, url, *address(url), [t for t, _ in lines], [p for _, p in lines], [sign(t) for t, _ in lines]
 
 
+def _packed(lines: list[str]) -> bytes:
+    """A page's lines, compressed, as all of them are shuffled once."""
+    data = "\n".join(lines).encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> list[str]:
+    text = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
 def _sent(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of 500 rows or about `size` characters of the texts in them."""
+    """Rows as Arrow batches of 500 rows or about `size` characters or items of their last columns."""
     held, n = [], 0
     for row in rows:
         held.append(row)
-        n += sum(map(len, row[-1])) if isinstance(row[-1], list) and row[-1] and isinstance(row[-1][0], str) else 0
+        n += sum(map(len, row[-1])) if isinstance(row[-1], list) and row[-1] and isinstance(row[-1][0], str) else len(row[-1])
         if len(held) == 500 or n > size:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, n = [], 0
@@ -326,30 +337,27 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     prepare(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
-    whole = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.binary()), ("places", pa.list_(pa.int8())), ("lines", pa.list_(pa.string()))])
+    whole = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.binary()), ("places", pa.binary()), ("lines", pa.binary())])
     kept = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64()), ("lines", pa.list_(pa.string()))])
 
     def read(batches):
-        yield from _sent(((i, url, _digest(host, signs), places, lines) for i, url, host, _, lines, places, signs in _pages(batches)), whole)
+        yield from _sent(((i, url, _digest(host, signs), np.array(places, np.int8).tobytes(), _packed(lines)) for i, url, host, _, lines, places, signs in _pages(batches)), whole)
 
     def choose(batches):
         def rows():
             for b in batches:
                 for r in b.to_pylist():
-                    shared = r["shared"] or []
-                    yield r["page_id"], r["url"], len(r["lines"]), len(shared), main_lines(r["lines"], r["places"], shared)
+                    shared, places = r["shared"] or [], np.frombuffer(r["places"], np.int8).tolist()
+                    yield r["page_id"], r["url"], len(places), len(shared), main_lines(_unpacked(r["lines"]), places, shared)
 
         yield from _sent(rows(), kept)
 
-    each = pages.mapInArrow(read, "page_id long, url string, digest binary, places array<byte>, lines array<string>")
+    each = pages.mapInArrow(read, "page_id long, url string, digest binary, places binary, lines binary")
     joined = each.join(shared_lines(pages, scratch), "digest", "left").select("page_id", "url", "places", "lines", "shared")
     return joined.mapInArrow(choose, "page_id long, url string, n_lines long, n_shared long, lines array<string>")
 
 
 def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
-    scratch = Scratch(spark, "pages")
-    got = extract(table(spark, sf_dir, "pages"), scratch).withColumn("text", F.array_join("lines", "\n"))
-    out = written(got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared"), "main-text")
-    scratch.drop()
-    return out
+    """The main text of every page. What is left in the shared folder are the signs of lines; texts aren't written twice."""
+    got = extract(table(spark, sf_dir, "pages"), Scratch(spark, "pages")).withColumn("text", F.array_join("lines", "\n"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
