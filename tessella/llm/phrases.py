@@ -31,7 +31,7 @@ from tessella.llm.common import Scratch, prepare, release, table, written
 
 SPLIT = r"[.,;:!?\x0A-\x0D]"
 #: Bytes of pieces in a block; bytes of text for each bucket, and the most buckets (beyond, they grow on disk, not in memory).
-BLOCK, BUCKET, MOST_BUCKETS = 12_000_000, 8_000_000, 50_000
+BLOCK, BUCKET, MOST_BUCKETS = 7_000_000, 8_000_000, 50_000
 #: What duckdb holds of a bucket in memory.
 MEMORY = "256MB"
 LISTS = "bucket int, lang string, phrases binary, counts binary"
