@@ -28,3 +28,9 @@ def test_lines(spark):
 def test_urls(spark):
     got = [r[1] for r in literal.frame(spark, "urls").select("id", web.normalise_url(F.col("url"))).orderBy("id").collect()]
     assert got == ["http://www.a.com:80/x?y=1", "https://a.com", "https://10.0.0.1/z", "HTTPS://B.org", "not a url", "", "ftp://c.net/q", "localhost", "https://x-y.co.uk/p"]
+
+
+def test_longer_numbers_are_no_pages(spark):
+    lines = spark.createDataFrame([("Page 10000",), ("p. 20001",), ("Page 5000",), ("MMMMM",), ("MMMCM",)], "line string")
+    got = lines.select(text.page_hint(F.col("line")), text.roman_to_int(F.col("line")), text.coerce_page(F.col("line"))).collect()
+    assert [tuple(r) for r in got] == [(None, None, 10000), (None, None, 20001), (5000, None, 5000), (None, None, None), (3900, 3900, 3900)]
