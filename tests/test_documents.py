@@ -304,3 +304,19 @@ def test_segments(spark):
     low, high = one(spark, segmentation.valley_thresholds(F.array(*[F.lit(x) for x in two])), x=1)
     assert 0.1 < low < 0.8 and low <= high
     assert tuple(one(spark, segmentation.valley_thresholds(F.array(F.lit(0.5))), x=1)) == (0.2, 0.6)
+
+
+def test_pages_are_cut_at_their_outline_alone(spark, tmp_path):
+    """A heading past the first lines of its page, and body lines that begin with numbers."""
+    from tessella.plans import ORACLE_SQL, QUERIES
+
+    long = "\n".join(f"line number {i} of the text" for i in range(600))
+    rows = [(1, long), (2, "\n".join(["56.187.231.175 Keit"] * 12)), (3, "121953 Words."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["page_fragments"](spark, str(tmp_path))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['page_fragments']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
