@@ -37,10 +37,11 @@ def paths(rows: DataFrame) -> DataFrame:
 def best_section(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """pages (doc, page) with the deepest, narrowest, earliest range that holds them; pages without one are left out.
 
-    Ranges are swept over the pages; what is joined after is one range per page.
+    Ranges are swept over the pages; what is joined after is one range per page. Both joins are by sorted sides: pages
+    that are made from few rows, and ranges out of Python, are larger than their plans' sizes tell, so neither may be broadcast by these.
     """
     best = overlay.cover(pages.select("doc", "page").distinct(), sections).where("ord is not null")
-    return pages.join(best, ["doc", "page"]).join(sections, ["doc", "ord"])
+    return pages.hint("merge").join(best.hint("merge"), ["doc", "page"]).join(sections.hint("merge"), ["doc", "ord"])
 
 
 def section_runs(pages: DataFrame) -> DataFrame:

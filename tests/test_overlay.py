@@ -123,3 +123,13 @@ def test_chinese_numerals(spark):
     rows = [(chinese(n), n) for n in numbers] + [("十二", 12), ("百", 100), ("两千", 2000), ("万", None), ("零", None), ("一二", 2), ("零十", 10), ("", None), ("12", 12), ("第七", None), (None, None)]
     got = spark.createDataFrame(rows, "t string, n long").withColumn("v", text.chinese_to_int(F.col("t"))).collect()
     assert [(r.t, r.v) for r in got] == [(r.t, r.n) for r in got]
+
+
+def test_best_section_broadcasts_nothing(spark, capsys):
+    """Pages exploded from few rows look small to the planner."""
+    pages = spark.range(10).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("page"))
+    ranges = spark.createDataFrame([(1, 1, 2, 3, 1)], "doc long, ord int, start int, end int, level int")
+    best = catalog.best_section(pages, ranges)
+    assert sorted(r.page for r in best.collect()) == [2, 3]
+    best.explain()
+    assert "Broadcast" not in capsys.readouterr().out
