@@ -39,6 +39,8 @@ ROW = struct.Struct("<HQIIQ")  # key length, offset, stored length, entries, ids
 BITS_PER_KEY, PROBES = 10, 7
 #: A shard is closed at about this size, and the next one of its task is begun.
 SHARD_BYTES = 256 << 20
+#: Pieces that a worker's encoder knows at most (some 0.7 MB for a thousand): all workers of an executor fill their own.
+CACHE_ENTRIES = 300_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -225,7 +227,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     def write(batches):
         from pyspark import TaskContext
 
-        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(tokenizer, CACHE_ENTRIES), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else int(end_id).to_bytes(enc.width, "little")
         batches = (b for b in batches if b.num_rows)
         head = next(batches, None)

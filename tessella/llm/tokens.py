@@ -163,15 +163,16 @@ class CachedEncoder:
         return self.encode_group([text])[0]
 
 
-_encoders: dict[str, CachedEncoder] = {}
+_encoders: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, cache_entries: int = 500_000) -> CachedEncoder:
     """This worker's encoder for a tokenizer file; the cache lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
+    key = path, cache_entries
+    if key not in _encoders:
+        _encoders[key] = CachedEncoder(path, cache_entries)
         hold(_encoders.clear)
-    return _encoders[path]
+    return _encoders[key]
 
 
 def le32(ids: bytes, width: int) -> bytes:

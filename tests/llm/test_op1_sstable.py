@@ -63,3 +63,13 @@ def test_shard_file_round_trip(tmp_path):
     assert len(r.rows) > 20 and [k for k, _, _ in r] == keys and r.n_keys == 1000
     assert all(r.get(k) == [bytes([i % 256, 0] * (i % 7))] for i, k in enumerate(keys))
     assert sum(r.may_have(sstable.key_of(i)) for i in range(1, 3000, 3)) < 50
+
+
+def test_the_cache_of_a_worker_is_bounded():
+    from tessella.llm import tokens
+
+    enc = tokens.encoder(PATH, sstable.CACHE_ENTRIES)
+    assert enc.limit == sstable.CACHE_ENTRIES < 500_000 and enc is tokens.encoder(PATH, sstable.CACHE_ENTRIES)
+    small, text = tokens.CachedEncoder(PATH, 50), " ".join(f"word{i}x" for i in range(40))
+    for i in range(5):
+        assert small.encode(f"{text} and{i}") == enc.encode(f"{text} and{i}") and len(small.cache) <= 200
