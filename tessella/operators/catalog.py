@@ -172,8 +172,11 @@ def roll_up(edges: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def catalog_lines(rows: DataFrame) -> DataFrame:
-    """rows (doc, title, page, end, level) with line: a drawn prefix by level, the last of a run closed, title and pages."""
-    order = ["page", "level", F.col("end").desc(), "title"]
+    """rows (doc, ord, title, page, end, level) with line: a drawn prefix by level, the last of a run closed, title and pages.
+
+    Rows that are equal in pages, level and title go by ord, so lines don't depend on how rows arrive.
+    """
+    order = ["page", "level", F.col("end").desc(), "title", "ord"]
     nxt = F.lead("level").over(Window.partitionBy("doc").orderBy(*order))
     closed = nxt.isNull() | (nxt < F.col("level"))
     indent = F.repeat(F.lit("│  "), F.col("level") - 1)

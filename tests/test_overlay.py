@@ -133,3 +133,11 @@ def test_best_section_broadcasts_nothing(spark, capsys):
     assert sorted(r.page for r in best.collect()) == [2, 3]
     best.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_lines_of_equal_rows_do_not_depend_on_their_order(spark):
+    rows = [(1, o, "Part", 3, 3, 2) for o in range(8)] + [(1, 8, "End", 4, 4, 1)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "doc int, ord int, title string, page int, end int, level int")
+        got = {r.ord: r.line for r in catalog.catalog_lines(df).collect()}
+        assert [o for o in range(8) if "└─" in got[o]] == [7]
