@@ -12,12 +12,14 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from tessella.operators.keywords import by_term
-from tessella.session import cut_lineage, ship_package
+from tessella.operators.keywords import in_blocks
+from tessella.session import ship_package
 
 #: Signs that may join words, signs that words may be merged across, stop words, and limits.
 CONNECTORS = ["·", "・", "･", "-", "'", "’", "."]
@@ -71,6 +73,18 @@ def is_noise(term: str) -> bool:
     return all(unicodedata.category(c).startswith("P") and c not in CONNECTORS for c in signs)
 
 
+def noise_count(terms: Column) -> Column:
+    """How many of an array of terms are noise."""
+
+    @pandas_udf("long")
+    def run(values: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}
+        return pd.Series([sum(n for t, n in Counter(v).items() if (known[t] if t in known else known.setdefault(t, is_noise(t)))) for v in values], dtype="int64")
+
+    ship_package(SparkSession.active())
+    return run(terms)
+
+
 def filter_terms(terms: list[str], top_k: int = 0, least: int = 1, stop: frozenset[str] = frozenset(STOP_WORDS)) -> list[str]:
     """Stripped terms without noise, stop words, short and repeated ones, in order; top_k of them if that is above 0."""
     out: dict[str, None] = {}
@@ -298,8 +312,8 @@ def segment(docs: DataFrame, name: str | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             at, pos, names, ps, sizes = [], [], [], [], []
-            for i, (tokens, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                phrases, probs, owner = cut(tokens or [], p or [])
+            for i, (tokens, p) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                phrases, probs, owner = cut(tokens.as_py() or [], p.as_py() or [])
                 size = Counter(owner)
                 at += [i] * len(phrases)
                 pos += range(len(phrases))
@@ -321,7 +335,7 @@ def anchored_phrases(docs: DataFrame, anchor: float, follower: float, k: int = 1
 
     def run(batches):
         for b in batches:
-            rows = [(i, n, *x) for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for n, x in enumerate(anchored_runs(t or [], p or [], anchor, follower, k), 1)]
+            rows = [(i, n, *x) for i, (t, p) in enumerate(zip(b.column(1), b.column(2), strict=True)) for n, x in enumerate(anchored_runs(t.as_py() or [], p.as_py() or [], anchor, follower, k), 1)]
             at, *rest = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["doc_id", "rank", "pos", "p", "phrase"])
@@ -335,16 +349,37 @@ def corpus_tokens(docs: DataFrame) -> DataFrame:
     The shares stand for a language model's probabilities, which need weights that aren't here.
     """
     t = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+|\s+|[^\w\s])"), 1)
-    # a row per row of docs and distinct token, made where the text is read, so the blank is no larger a key than any common word
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", t.alias("ts"))
-    rows = cut_lineage(numbered.select("row", "doc_id", F.posexplode("ts").alias("pos", "token")).groupBy("row", "doc_id", "token").agg(F.collect_list("pos").alias("at")))
-    counts = rows.groupBy("token").agg(F.sum(F.size("at")).alias("c"))
-    total = counts.agg(F.sum("c").alias("all"))
-    p = counts.join(F.broadcast(total)).select(F.col("token").alias("term"), (F.col("c") / F.col("all")).alias("p"))
-    each = by_term(rows.withColumnRenamed("token", "term"), p)
-    placed = F.transform(F.col("at"), lambda i: F.struct(i.alias("pos"), F.col("term").alias("token"), F.col("p").alias("p")))
-    lists = each.select("row", "doc_id", placed.alias("l")).groupBy("row", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
-    return lists.select("doc_id", F.transform("l", lambda x: x["token"]).alias("tokens"), F.transform("l", lambda x: x["p"]).alias("probabilities"))
+    # tokens are all of a text, so their lengths tell where it is cut
+    sized = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.transform(t, F.length).alias("sizes"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def tokens(b: pa.Table):
+        for text, sizes in zip(b.column("text"), b.column("sizes"), strict=True):
+            text, at, out = text.as_py(), 0, []
+            for n in sizes.as_py():
+                out.append(text[at : at + n])
+                at += n
+            yield out
+
+    def count(b: pa.Table) -> Counter:
+        found: Counter = Counter()
+        for t in tokens(b):
+            found.update(t)
+        found[None] = found.total()
+        return found
+
+    def use(b: pa.Table, found: dict) -> pa.Table:
+        # a list of all tokens, and where each text's begin
+        names, ends, kept = [], [0], []
+        for i, t in enumerate(tokens(b)):
+            if t:
+                kept.append(i)
+                names += t
+                ends.append(len(names))
+        at, p = pa.array(ends, pa.int32()), pa.array([found[x] / found[None] for x in names], pa.float64())
+        return pa.table([b.column("doc_id").take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, p)], names=["doc_id", "tokens", "probabilities"])
+
+    return in_blocks(sized, count, use, f"doc_id {kind}, tokens array<string>, probabilities array<double>")
 
 
 def fill_phrases(tokens: DataFrame) -> DataFrame:
