@@ -40,3 +40,13 @@ def test_noise_is_counted_without_exploded_words(spark, tmp_path, capsys):
     got = QUERIES["noise_terms"](spark, str(tmp_path))
     assert {r.doc_id: r.noise for r in got.collect()} == {1: 5, 4: 0}
     assert "Generate" not in plan(got, capsys)
+
+
+def test_assets_reach_their_ancestors_in_one_sorted_pass(spark, capsys):
+    from tessella.operators import trees
+
+    nodes = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 2), ("a", 4, 1)], "doc string, at int, level int")
+    rows = [("a", 2, "headers", 1, "y"), ("a", 2, "headers", 0, " x "), ("a", 3, "headers", 0, "x"), ("a", 3, "images", 0, "p"), ("a", 4, "headers", 0, " "), ("a", 9, "headers", 0, "z")]
+    got = trees.subtree_assets(nodes, spark.createDataFrame(rows, "doc string, at int, list string, pos int, value string"))
+    assert {r["at"]: (r.headers, r.images) for r in got.collect()} == {1: (["x", "y"], ["p"]), 2: (["x", "y"], []), 3: (["x"], ["p"])}
+    assert plan(got, capsys).count("Exchange") == 1
