@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.functions.text import heading_key, heading_title
 from tessella.operators import overlay
-from tessella.session import cut_lineage
+from tessella.session import cut_lineage, ship_package
 
 
 def ranges(markers: DataFrame, total_pages: Column) -> DataFrame:
@@ -45,12 +46,35 @@ def best_section(pages: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def section_runs(pages: DataFrame) -> DataFrame:
-    """(doc, path, level, start, end) of runs of consecutive pages under each prefix of their path (parts by /)."""
-    parts = F.split("path", "/")
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), k.alias("level"))))
-    rows = pages.where("path <> ''").select("doc", "page", prefix.alias("p")).select("doc", "page", "p.*").distinct()
-    island = F.col("page") - F.row_number().over(Window.partitionBy("doc", "path").orderBy("page"))
-    return rows.withColumn("g", island).groupBy("doc", "path", "level", "g").agg(F.min("page").alias("start"), F.max("page").alias("end")).drop("g")
+    """(doc, path, level, start, end) of runs of consecutive pages under each prefix of their path (parts by /).
+
+    A document's pages are sorted once and read as a stream; what is held is the last run of each of its prefixes.
+    """
+    ship_package(pages.sparkSession)
+    doc, page = pages.schema["doc"].dataType, pages.schema["page"].dataType
+    schema = StructType().add("doc", doc).add("path", "string").add("level", "integer").add("start", page).add("end", page)
+
+    def walk(batches):
+        def rows():
+            for (key,), run in overlay._streams(batches, 1):
+                last: dict[tuple, list] = {}
+                for at, path in run:
+                    parts = path.split("/")
+                    for k in range(1, len(parts) + 1):
+                        p = "/".join(parts[:k])
+                        held = last.get(p)
+                        if held and (at == held[2] or (held[2] is not None and at == held[2] + 1)):
+                            held[2] = at
+                            continue
+                        if held:
+                            yield key, p, *held
+                        last[p] = [k, at, at]
+                for p, held in last.items():
+                    yield key, p, *held
+
+        yield from overlay._batches(rows(), overlay._arrow(schema))
+
+    return pages.where("path <> ''").select("doc", "page", "path").repartition("doc").sortWithinPartitions("doc", "page").mapInArrow(walk, schema)
 
 
 def remap_by_hits(markers: DataFrame, headings: DataFrame) -> DataFrame:
@@ -83,29 +107,41 @@ def prune_tail(markers: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def project_pages(pages: DataFrame, anchors: DataFrame, target_pages: int) -> DataFrame:
-    """pages (doc, page) with mapped: through anchors (doc, src, dst) by line, half to even; beyond them by the edge's offset."""
-    union = anchors.select("doc", F.col("src").alias("at"), "dst", F.lit(0).alias("probe")).unionByName(
-        pages.select("doc", F.col("page").alias("at"), F.lit(None).cast("int").alias("dst"), F.lit(1).alias("probe"))
-    )
-    a = F.when(F.col("probe") == 0, F.struct("at", "dst"))
-    w = Window.partitionBy("doc").orderBy("at", "probe")
-    back = Window.partitionBy("doc").orderBy("at", F.col("probe").desc())
-    seen = union.withColumns(
-        {
-            "lo": F.last(a, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "hi": F.first(a, ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    lo, hi, p = F.col("lo"), F.col("hi"), F.col("at")
-    line = F.bround(lo["dst"] + (p - lo["at"]) / (hi["at"] - lo["at"]) * (hi["dst"] - lo["dst"]))
-    mapped = (
-        F.when(lo.isNull() & hi.isNull(), p)
-        .when(lo.isNull(), p + hi["dst"] - hi["at"])
-        .when(hi.isNull(), p + lo["dst"] - lo["at"])
-        .when(lo["at"] == p, lo["dst"])
-        .otherwise(line)
+    """pages (doc, page) with mapped: through anchors (doc, src, dst) by line, half to even; beyond them by the edge's offset.
+
+    A document's anchors and pages are sorted once and read as a stream; what is held are the pages since the last anchor.
+    """
+    ship_package(pages.sparkSession)
+    none = F.lit(None).cast("int")
+    union = anchors.select("doc", F.col("src").cast("int").alias("at"), F.lit(0).alias("probe"), F.col("dst").cast("int").alias("dst")).unionByName(
+        pages.select("doc", F.col("page").cast("int").alias("at"), F.lit(1).alias("probe"), none.alias("dst"))
     )
-    return seen.where("probe = 1").select("doc", F.col("at").alias("page"), F.greatest(F.lit(1), F.least(F.lit(target_pages), mapped.cast("int"))).alias("mapped"))
+    schema = StructType().add("doc", pages.schema["doc"].dataType).add("page", "integer").add("mapped", "integer")
+
+    def between(p: int, lo: tuple | None, hi: tuple | None) -> int:
+        if lo is None:
+            return p if hi is None else p + hi[1] - hi[0]
+        if hi is None or lo[0] == p:
+            return p + lo[1] - lo[0]
+        return round(lo[1] + (p - lo[0]) / (hi[0] - lo[0]) * (hi[1] - lo[1]))
+
+    def walk(batches):
+        def rows():
+            for (key,), run in overlay._streams(batches, 1):
+                lo, held = None, []
+                for at, probe, dst in run:
+                    if probe:
+                        held.append(at)
+                        continue
+                    for p in held:
+                        yield key, p, max(1, min(target_pages, between(p, lo, (at, dst))))
+                    lo, held = (at, dst), []
+                for p in held:
+                    yield key, p, max(1, min(target_pages, between(p, lo, None)))
+
+        yield from overlay._batches(rows(), overlay._arrow(schema))
+
+    return union.repartition("doc").sortWithinPartitions("doc", "at", "probe").mapInArrow(walk, schema)
 
 
 def boundary_scores(a: DataFrame, b: DataFrame) -> DataFrame:

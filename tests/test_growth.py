@@ -50,3 +50,25 @@ def test_assets_reach_their_ancestors_in_one_sorted_pass(spark, capsys):
     got = trees.subtree_assets(nodes, spark.createDataFrame(rows, "doc string, at int, list string, pos int, value string"))
     assert {r["at"]: (r.headers, r.images) for r in got.collect()} == {1: (["x", "y"], ["p"]), 2: (["x", "y"], []), 3: (["x"], ["p"])}
     assert plan(got, capsys).count("Exchange") == 1
+
+
+def test_runs_of_sections_are_one_sorted_pass(spark, capsys):
+    from tessella.operators import catalog
+
+    rows = [("a", 1, "x/y"), ("a", 2, "x/z"), ("a", 2, "x/z"), ("a", 4, "x/y"), ("a", 3, ""), ("b", 5, "x")]
+    got = catalog.section_runs(spark.createDataFrame(rows, "doc string, page int, path string"))
+    want = [("a", "x", 1, 1, 2), ("a", "x", 1, 4, 4), ("a", "x/y", 2, 1, 1), ("a", "x/y", 2, 4, 4), ("a", "x/z", 2, 2, 2), ("b", "x", 1, 5, 5)]
+    assert sorted(map(tuple, got.collect())) == want
+    text = plan(got, capsys)
+    assert text.count("Exchange") == 1 and "Window" not in text and "HashAggregate" not in text
+
+
+def test_pages_are_projected_in_one_sorted_pass(spark, capsys):
+    from tessella.operators import catalog
+
+    pages = spark.createDataFrame([("a", p) for p in range(1, 9)] + [("b", 3)], "doc string, page int")
+    anchors = spark.createDataFrame([("a", 2, 4), ("a", 5, 5)], "doc string, src int, dst int")
+    got = catalog.project_pages(pages, anchors, 7)
+    assert [tuple(r) for r in got.orderBy("doc", "page").collect()] == [("a", p, m) for p, m in zip(range(1, 9), (3, 4, 4, 5, 5, 6, 7, 7))] + [("b", 3, 3)]
+    text = plan(got, capsys)
+    assert text.count("Sort ") == 1 and "Window" not in text
