@@ -72,3 +72,12 @@ def test_pages_are_projected_in_one_sorted_pass(spark, capsys):
     assert [tuple(r) for r in got.orderBy("doc", "page").collect()] == [("a", p, m) for p, m in zip(range(1, 9), (3, 4, 4, 5, 5, 6, 7, 7))] + [("b", 3, 3)]
     text = plan(got, capsys)
     assert text.count("Sort ") == 1 and "Window" not in text
+
+
+def test_lines_of_words_are_made_page_by_page(spark, tmp_path, capsys):
+    from tessella.plans import QUERIES
+
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(85))), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["word_lines"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.page, r["at"]) for r in got.collect()) == [(1, p, a) for p, n in ((0, 5), (1, 5), (2, 1)) for a in range(1, n + 1)]
+    assert "Exchange" not in plan(got, capsys)
