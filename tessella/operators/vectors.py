@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import cut_lineage
+from tessella.session import cut_lineage, ship_package
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -67,8 +70,8 @@ def clustered(vectors: DataFrame, lists: int, seed: int = 1) -> tuple[DataFrame,
     return model.transform(rows).drop("_v"), spark.createDataFrame(centres, "cell int, centre array<double>")
 
 
-#: Cells at most, rows of queries and cells that are broadcast, and parts that a cell is dealt to beyond that.
-MOST_CELLS, BROADCAST_PROBES, SALTS = 65_536, 50_000, 16
+#: Cells at most, pairs of blocks that are broadcast, queries of a block, vectors that meet it in one step.
+MOST_CELLS, BROADCAST_PROBES, BLOCK_QUERIES, BLOCK_VECTORS = 65_536, 50_000, 2048, 8192
 
 
 def cells_for(rows: int) -> int:
@@ -76,40 +79,106 @@ def cells_for(rows: int) -> int:
     return max(1, min(MOST_CELLS, round(rows**0.5)))
 
 
-def _by_cell(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
-    """vectors with the queries of their cell; chosen is broadcast only if it is counted small, else both are dealt by cell and salt."""
-    if chosen.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES:
-        return vectors.join(F.broadcast(chosen), "cell")
-    salted = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return vectors.withColumn("_salt", F.pmod(F.hash("vec_id"), F.lit(SALTS))).join(salted, ["cell", "_salt"]).drop("_salt")
+def _matrix(c: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as a matrix of doubles."""
+    flat = pc.list_flatten(c).to_numpy().astype("float64")
+    return flat.reshape(len(c), -1) if len(flat) else np.zeros((len(c), 0))
+
+
+def _rounded(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of paired rows, added up in the order of squared_distance."""
+    d = np.zeros(len(v))
+    for i in range(v.shape[1]):
+        d += (v[:, i] - q[:, i]) ** 2
+    return d
+
+
+def _met(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance): of each pair of blocks the k nearest vectors of each query, those farther than its bound aside.
+
+    vectors: vec_id, embedding, vblock; queries: query_id, query, qblock, bound (a distance, or null); pairs: vblock, qblock, each once. A pair of
+    blocks is one step of bounded memory: a product of matrices finds those that can be among the k, whose distances are then computed as elsewhere.
+    """
+    kind, other = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+
+    def step(v: pa.Table, q: pa.Table) -> pa.Table:
+        owner, near, far = [], [], []
+        if len(v) and len(q):
+            a, b = _matrix(v.column("embedding")), _matrix(q.column("query"))
+            ids = v.column("vec_id").to_numpy()
+            limit = q.column("bound").to_numpy().astype("float64")
+            limit = np.where(np.isnan(limit), np.inf, limit)
+            for lo in range(0, len(a), BLOCK_VECTORS):  # a block that equal vectors have made large is taken in parts
+                part, names = a[lo : lo + BLOCK_VECTORS], ids[lo : lo + BLOCK_VECTORS]
+                d = (b * b).sum(1)[:, None] + (part * part).sum(1)[None, :] - 2 * (b @ part.T)
+                kth = np.partition(d, min(k, len(part)) - 1, axis=1)[:, min(k, len(part)) - 1]
+                rows, columns = np.nonzero(d <= (np.minimum(limit, kth) + 2e-6)[:, None])
+                owner.append(rows), near.append(names[columns]), far.append(_rounded(part[columns], b[rows]))
+        empty = not owner
+        who = np.concatenate(owner) if not empty else np.zeros(0, "int64")
+        columns = [q.column("query_id").take(pa.array(who)), pa.array(np.concatenate(near) if not empty else []).cast(v.schema.field("vec_id").type), pa.array(np.concatenate(far) if not empty else [], pa.float64())]
+        return pa.table(columns, names=["query_id", "vec_id", "distance"])
+
+    ship_package(vectors.sparkSession)
+    pairs = cut_lineage(pairs)
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_PROBES else pairs
+    own = [F.col(c).alias(f"_{c}") for c in ("vblock", "qblock")]  # both sides come from the pairs
+    left = vectors.join(pairs, "vblock").select(*own, "vec_id", "embedding")
+    right = queries.join(pairs, "qblock").select(*own, "query_id", "query", F.col("bound").cast("double").alias("bound"))
+    got = left.groupBy("_vblock", "_qblock").cogroup(right.groupBy("_vblock", "_qblock")).applyInArrow(step, f"query_id {kind}, vec_id {other}, distance double")
+    top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return got.withColumn("distance", F.round("distance", 6)).withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k)
 
 
 def probe(vectors: DataFrame, cells: DataFrame, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
     """(query_id, vec_id, distance): each query's k nearest, exactly. queries: (query_id, query).
 
     After the cells with the nearest centres, all cells follow that could hold a nearer vector by the
-    triangle inequality: those whose centre is no farther than their radius and the k-th distance so far.
+    triangle inequality: those whose centre is no farther than their radius and the k-th distance so far. Queries of the same
+    nearest cell stand in blocks together; a cell is looked at by a block if one of its queries asks for it.
     """
     root = F.sqrt(squared_distance(F.col("embedding"), F.col("centre")))
     radius = vectors.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.max(F.coalesce(root, F.lit(0.0))).alias("radius"))
-    to_centre = F.coalesce(F.sqrt(squared_distance(F.col("centre"), F.col("query"))), F.lit(0.0))
-    plan = queries.crossJoin(F.broadcast(cells.join(radius, "cell"))).withColumn("_to", to_centre)  # at most MOST_CELLS centres
-    w = Window.partitionBy("query_id").orderBy("_to", "cell")
-    plan = plan.withColumn("_rank", F.row_number().over(w)).select("query_id", "query", "cell", "radius", "_to", "_rank")
-    plan = cut_lineage(plan)
-
-    def found(chosen: DataFrame) -> DataFrame:
-        pairs = _by_cell(vectors, chosen.select("query_id", "query", "cell"))
-        pairs = pairs.select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
-        top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        return pairs.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k)
-
-    near = cut_lineage(found(plan.where(F.col("_rank") <= probes)))
-    reach = near.where(F.col("_at") == k).select("query_id", F.sqrt(F.col("distance") + 1e-6).alias("_reach"))
-    rest = plan.where(F.col("_rank") > probes).join(reach, "query_id", "left")
-    rest = rest.where(F.col("_reach").isNull() | (F.col("_to") <= F.col("radius") + F.col("_reach") + 1e-6))
+    known = [(r["cell"], r["centre"], r["radius"]) for r in cells.join(radius, "cell").collect()]  # at most MOST_CELLS centres
+    names, radii = np.array([c for c, _, _ in known], "int32"), np.array([r for _, _, r in known])
+    centres = np.array([c if c is not None else [] for _, c, _ in known], "float64")
+    n = max(1, -(-queries.count() // BLOCK_QUERIES))
+    most = min(probes, len(names))
+
+    def to_centres(q: pa.Array) -> np.ndarray:
+        b = _matrix(pa.chunked_array([q]))
+        if not centres.shape[1]:
+            return np.zeros((len(b), len(names)))
+        return np.sqrt(np.maximum((b * b).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (b @ centres.T), 0))
+
+    def nearest_cells(batches):
+        for b in batches:
+            order = np.argsort(to_centres(b.column(1)), axis=1, kind="stable")[:, :most]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[order].tolist(), pa.list_(pa.int32()))], names=["query_id", "query", "near"])
+
+    def reached(batches):
+        for b in batches:
+            bound = b.column(3).to_numpy(zero_copy_only=False).astype("float64")
+            reach = np.sqrt(np.where(np.isnan(bound), np.inf, bound) + 1e-6)
+            hit = to_centres(b.column(1)) <= radii[None, :] + reach[:, None] + 1e-5
+            rows, columns = np.nonzero(hit)
+            pairs = np.unique(np.stack([b.column(2).to_numpy()[rows].astype("int64"), names[columns].astype("int64")]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype("int32")), pa.array(pairs[0].astype("int32"))], names=["vblock", "qblock"])
+
+    ship_package(vectors.sparkSession)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    shape = queries.schema["query"].dataType.simpleString()
+    placed = queries.select("query_id", "query").mapInArrow(nearest_cells, f"query_id {kind}, query {shape}, near array<int>")
+    placed = placed.withColumn("qblock", F.ntile(n).over(Window.orderBy(F.col("near")[0], "query_id"))) if n == 1 else placed.repartitionByRange(n, F.col("near")[0], "query_id").withColumn("qblock", F.spark_partition_id())
+    placed = cut_lineage(placed.withColumn("qblock", F.col("qblock").cast("int")))
+    v = vectors.select("vec_id", "embedding", F.col("cell").alias("vblock"))
+    first = placed.select("qblock", F.explode("near").alias("vblock")).distinct()
+    near = cut_lineage(_met(v, placed.withColumn("bound", F.lit(None).cast("double")), first, k))
+    asked = placed.drop("near").join(near.where(F.col("_at") == k).select("query_id", F.col("distance").alias("bound")), "query_id", "left")
+    asked = cut_lineage(asked.select("query_id", "query", "qblock", "bound"))
+    rest = asked.mapInArrow(reached, "vblock int, qblock int").distinct().join(first, ["vblock", "qblock"], "left_anti")
     top = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    both = near.unionByName(found(rest)).withColumn("_at", F.row_number().over(top))
+    both = near.unionByName(_met(v, asked, rest, k)).withColumn("_at", F.row_number().over(top))
     return both.where(F.col("_at") <= k).select("query_id", "vec_id", "distance")
 
 

@@ -81,3 +81,19 @@ def test_lines_of_words_are_made_page_by_page(spark, tmp_path, capsys):
     got = QUERIES["word_lines"](spark, str(tmp_path))
     assert sorted((r.doc_id, r.page, r["at"]) for r in got.collect()) == [(1, p, a) for p, n in ((0, 5), (1, 5), (2, 1)) for a in range(1, n + 1)]
     assert "Exchange" not in plan(got, capsys)
+
+
+def test_probing_in_small_blocks_is_exact(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import vectors
+
+    e = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11), float(i // 40)]) for i in range(120)], "vec_id long, embedding array<float>")
+    cells, centres = vectors.clustered(e, 9)
+    queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows = {r.vec_id: r.embedding for r in e.collect()}
+    far = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(rows[a], rows[b])), 6)
+    want = sorted((q, v, d) for q in rows if q % 10 == 0 for d, v in sorted((far(q, v), v) for v in rows)[:5])
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 4)
+    assert sorted(map(tuple, vectors.probe(cells, centres, queries, 5).collect())) == want
