@@ -99,6 +99,17 @@ def test_probing_in_small_blocks_is_exact(spark, monkeypatch):
     assert sorted(map(tuple, vectors.probe(cells, centres, queries, 5).collect())) == want
 
 
+def test_rare_pairs_are_not_kept(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta word{i} gamma") for i in range(12)], "doc_id long, text string")
+    whole = sorted(map(tuple, keywords.neighbour_pmi(docs, 10).collect()))
+    assert [r[:3] for r in whole] == [("alpha", "beta", 12)]
+    kept, cut = [], keywords.cut_lineage
+    monkeypatch.setattr(keywords, "HELD_PAIRS", 3)
+    monkeypatch.setattr(keywords, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    assert sorted(map(tuple, keywords.neighbour_pmi(docs, 10).collect())) == whole
+    assert kept[0].where("left is not null and right is not null").count() == 1
+
+
 def test_batches_of_texts_are_small(spark):
     from pyspark.sql import functions as F
 
