@@ -33,7 +33,6 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import zstandard
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +44,9 @@ ORDER = 6
 LOCAL = 3
 #: Bytes of text in a block, bytes of a text coded at once, n-grams that a merge holds unsorted.
 BLOCK, PIECE, PENDING = 5_000_000, 1 << 20, 2_000_000
-#: N-grams whose codes a block holds before it numbers them.
-RUN = 1_000_000
+#: N-grams whose codes a block holds before it sorts them, and the pieces that these are of at most.
+RUN, PIECE_BITS = 1_000_000, 15
+PIECES = 1 << PIECE_BITS
 #: Log probabilities are sent back in steps of 1 / STEPS, in 16 bits: what is below -32.7 counts as that.
 STEPS = 2000
 #: Bytes before a text's first.
@@ -237,30 +237,36 @@ def unpacked(data: bytes) -> np.ndarray:
 class Block:
     """Pieces of texts in a row: their n-grams, and which document each piece is of.
 
-    Codes are replaced by their places among distinct ones after every RUN of them, so a block holds
-    four bytes a position and not eight, and what is sorted is short.
+    Every RUN of codes is sorted, with the piece's number in the bits that a code leaves free: sorting takes a quarter of
+    the time of a hash table. A block then holds two bytes a position, and what distinct codes take.
     """
 
     def __init__(self):
-        self.size, self.runs, self.codes, self.doc, self.learn = 0, [], [], [], []
+        self.size, self.held, self.runs, self.codes, self.doc, self.learn = 0, 0, [], [], [], []
 
     def add(self, doc: int, codes: np.ndarray, learn: bool) -> None:
         self.size += len(codes)
+        self.held += len(codes)
         self.codes.append(codes)
         self.doc.append(doc)
         self.learn.append(learn)
-        if sum(map(len, self.codes)) >= RUN:
+        if self.held >= RUN or len(self.codes) == PIECES:
             self._close_run()
 
     def _close_run(self) -> None:
+        """A run becomes: distinct codes, their numbers in all and in pieces to learn from, pieces by code, pieces' lengths, documents."""
         if not self.codes:
             return
         length = np.array([len(c) for c in self.codes], np.int64)
-        d = pc.dictionary_encode(pa.array(np.concatenate(self.codes)))
-        code, at = d.dictionary.to_numpy(), d.indices.to_numpy()
-        n = np.bincount(at, np.repeat(np.array(self.learn, np.float32), length), len(code)).astype(np.int64)
-        self.runs.append([code, at, n, length, self.doc])
-        self.codes, self.doc, self.learn = [], [], []
+        code = np.concatenate(self.codes)
+        code = (code & HALF) | ((code & ~HALF) << U(PIECE_BITS)) | np.repeat(np.arange(len(length), dtype=U), length)
+        code.sort()
+        piece = (code & U(PIECES - 1)).astype(np.uint16)
+        code = (code & HALF) | ((code & ~HALF) >> U(PIECE_BITS))
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.add.reduceat(np.array(self.learn, np.int32)[piece], first)
+        self.runs.append([code[first], np.diff(first, append=len(code)).astype(np.int32), n, piece, length, self.doc])
+        self.held, self.codes, self.doc, self.learn = 0, [], [], []
 
     def distinct(self, shards: int) -> None:
         """self.sent: distinct n-grams by shard, ascending in each; self.n: their numbers in documents to learn from."""
@@ -284,8 +290,8 @@ class Block:
 
     def scores(self, values: np.ndarray) -> Iterator[tuple[int, float, int]]:
         """Per piece: document, sum of -log P in steps, bytes."""
-        for place, at, _, length, doc in self.runs:
-            sums = np.add.reduceat(values[place][at], np.cumsum(length) - length, dtype=np.int64)
+        for place, times, _, piece, length, doc in self.runs:
+            sums = np.bincount(piece, np.repeat(values[place], times), len(length)).astype(np.int64)
             yield from zip(doc, sums, length, strict=True)
 
 

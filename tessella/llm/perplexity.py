@@ -31,6 +31,8 @@ MIN_WORDS = 50
 SYMBOLS_A_WORD, CAPITALS_A_LETTER = 0.1, 0.3
 #: Bytes of text in a block of the query, which has a worker's memory for itself; the larger, the fewer n-grams are sent twice.
 QUERY_BLOCK = 8_000_000
+#: Different words of which three numbers make one of 63 bits.
+THREE_FIT = 1 << 21
 #: Languages whose bands are broadcast.
 LANGUAGES = 10_000
 
@@ -50,12 +52,16 @@ def structure(text: str | None, data: bytes | None = None) -> tuple[int, int, in
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     repeated = 0
     if n >= 3:
-        known: dict[bytes, int] = {}
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
-        _, pair = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)
-        _, inverse, count = np.unique(pair[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)
-        again = (count > 1)[inverse]
-        if again.any():
+        known = dict(zip(dict.fromkeys(words), range(n)))
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, n)
+        pair = ids[:-2] * len(known) + ids[1:-1]
+        if len(known) > THREE_FIT:
+            _, pair = np.unique(pair, return_inverse=True)
+        window = pair * len(known) + ids[2:]
+        ordered = np.sort(window)  # without the places, which are asked for only where a window comes again
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            again = twice[np.minimum(np.searchsorted(twice, window), len(twice) - 1)] == window
             covered = np.zeros(n, bool)
             for j in range(3):
                 covered[j : n - 2 + j] |= again

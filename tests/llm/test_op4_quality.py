@@ -208,3 +208,25 @@ def test_edges(spark):
     rows = [(None, None, None, 1, "", 1), (1, "", "en", 1, "", 1), (2, "one two " * 40, "en", 1, "", 1), (2, "one two " * 40, "en", 1, "", 1)]
     got = P.quality(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 4 and not any(r.kept for r in got)
+
+
+@pytest.mark.parametrize("pieces", [1 << 15, 4])
+def test_a_block_holds_two_bytes_a_position(monkeypatch, pieces):
+    """Runs end at so many codes or pieces; sums and numbers are those of counting one by one."""
+    monkeypatch.setattr(N, "RUN", 300)
+    monkeypatch.setattr(N, "PIECES", pieces)
+    texts = [(f"word {i % 5} and é " * (i % 7 + 1)).encode() for i in range(40)]
+    block, total, learned = N.Block(), Counter(), Counter()
+    for i, data in enumerate(texts):
+        for codes in N.grams(data):
+            block.add(i, codes, i % 3 > 0)
+            total.update(codes.tolist())
+            learned.update(codes.tolist() if i % 3 else ())
+    block.distinct(16)
+    assert sorted(block.sent.tolist()) == sorted(total) and dict(zip(block.sent.tolist(), block.n.tolist())) == {c: learned[c] for c in total}
+    held = sum(x.nbytes for r in block.runs for x in r if isinstance(x, np.ndarray) and len(x) == sum(r[4]))
+    assert held == 2 * sum(map(len, texts)) and len(block.runs) > 3
+    values = (block.sent % np.uint64(60_000)).astype(np.uint16)
+    score = dict(zip(block.sent.tolist(), values.tolist()))
+    want = [(i, sum(score[c] for codes in N.grams(d) for c in codes.tolist()), len(d)) for i, d in enumerate(texts)]
+    assert [tuple(map(int, x)) for x in block.scores(values)] == want
