@@ -137,3 +137,27 @@ def test_what_a_worker_holds_is_handed_on(spark, monkeypatch):
     monkeypatch.setattr(chunking, "HELD_PIECES", 2)
     monkeypatch.setattr(keywords, "HELD_ROWS", 3)
     assert sides() == whole
+
+
+def test_only_pages_with_markers_are_cut_into_lines(spark, monkeypatch):
+    from tessella.operators import trees
+
+    pages = spark.createDataFrame([("a", 1, "One\ntext"), ("a", 2, " other\nOne "), ("b", 1, None), (None, 1, "One")], "doc string, page int, text string")
+    markers = spark.createDataFrame([("a", 1, "One", 1, 1), ("c", 1, "One", 1, 1), (None, 1, "One", 1, 1)], "doc string, ord int, title string, page int, level int")
+    asked, inner = [], trees.lines
+    monkeypatch.setattr(trees, "lines", lambda p: asked.append(p) or inner(p))
+    got = {(r.doc, r.page): (r.fragment, r["count"], r.title, r.path, r.text) for r in trees.split_pages(pages, markers).collect()}
+    assert got == {("a", 1): (1, 1, "One", "One", "One\ntext"), ("a", 2): (1, 1, "", "", "other\nOne"), ("b", 1): (1, 1, "", "", ""), (None, 1): (1, 1, "", "", "One")}
+    assert [p.count() for p in asked] == [1]
+
+
+def test_ingested_documents_are_dealt_evenly(spark, tmp_path, monkeypatch, capsys):
+    from tessella.operators import builders, ingest
+
+    kept, cut = [], builders.cut_lineage
+    monkeypatch.setattr(builders, "cut_lineage", lambda df: kept.append(df) or cut(df))
+    docs = spark.createDataFrame([(i, f"doc {i}.txt", f"word{i} " * 50) for i in range(40)], "doc_id long, doc_name string, text string").coalesce(1)
+    builders.ingest(ingest.Store(spark, f"file://{tmp_path}/store"), docs)
+    assert kept[0].columns == ["doc_id", "doc_name", "text"] and "hashpartitioning(doc_id" in plan(kept[0], capsys)
+    # what stands around a page is made once: it is kept before notes are carried on, which reads it twice
+    assert [df.columns for df in kept if "notes" in df.columns][0] == [df.columns for df in kept if "notes" in df.columns][1]
