@@ -110,6 +110,24 @@ def test_rare_pairs_are_not_kept(spark, monkeypatch):
     assert kept[0].where("left is not null and right is not null").count() == 1
 
 
+def test_pairs_are_summed_in_buckets_without_a_row_each(spark, monkeypatch, capsys):
+    from collections import Counter
+
+    texts = [f"_alpha- beta w{i % 4}x 图画 图 _-_ the K\u212a\u212a" for i in range(24)] + ["beta", "", None, "alpha beta " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = [keywords._terms(t) for t in texts]
+    one, two = Counter(x for t in lists for x in t), Counter(p for t in lists for p in zip(t, t[1:]))
+    want = {(a, None): n for a, n in one.items()} | {p: n for p, n in two.items() if n >= 10} | {(None, None): two.total()}
+    kept, cut = [], keywords.cut_lineage
+    monkeypatch.setattr(keywords, "cut_lineage", lambda df: kept.append(df) or cut(df))
+    whole = sorted(map(tuple, keywords.neighbour_pmi(docs, 10).collect()))
+    monkeypatch.setattr(keywords, "HELD_PAIRS", 3)
+    monkeypatch.setattr(keywords, "BUCKET_CHARS", 40)
+    assert whole and sorted(map(tuple, keywords.neighbour_pmi(docs, 10).collect())) == whole
+    assert [{(r.left, r.right): r.n for r in df.collect()} for df in kept] == [want, want]
+    assert "HashAggregate" not in plan(kept[1], capsys)
+
+
 def test_batches_of_texts_are_small(spark):
     from pyspark.sql import functions as F
 
