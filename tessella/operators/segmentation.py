@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -50,8 +51,16 @@ def segmenter(name: str | None = None) -> Segmenter:
     return SEGMENTERS.get((name or "").strip().lower(), SEGMENTERS[DEFAULT])
 
 
+#: Characters of a token whose class a worker keeps, as nearly all tokens come again, and how many of these.
+KNOWN_CHARS, KNOWN_TOKENS = 32, 1 << 16
+
+
 def token_class(token: str) -> str:
     """exception: white space and line breaks, which are passed over; break: other punctuation, or nothing; else content."""
+    return _known_class(token) if len(token) <= KNOWN_CHARS else _class(token)
+
+
+def _class(token: str) -> str:
     if not token:
         return "break"
     if _BRIDGE.fullmatch(token):
@@ -60,6 +69,9 @@ def token_class(token: str) -> str:
     return "break" if any(unicodedata.category(c).startswith("P") for c in rest) else "content"
 
 
+_known_class = lru_cache(KNOWN_TOKENS)(_class)
+
+
 def is_noise(term: str) -> bool:
     """Empty, a number, a single sign that isn't Chinese, or punctuation alone; connectors are none."""
     t = (term or "").strip()
@@ -110,17 +122,26 @@ class _Unit:
         return max(len(self.at) / self.inverse, FLOOR)
 
 
+def pair_counts(segments: list[list[str]]) -> tuple[Counter, Counter]:
+    """How often each text and each pair of neighbours is there."""
+    units, pairs = Counter(), Counter()
+    for s in segments:
+        units.update(s)
+        pairs.update(zip(s, s[1:]))
+    return units, pairs
+
+
 def pair_scores(segments: list[list[_Unit]], least: int) -> dict[tuple[str, str], tuple]:
     """Pairs of neighbours of positive PMI that occur at least max(2, least) times, with what they are compared by.
 
     The score weighs PMI by ln(1 + n) and by the mean of the pairs' geometric probability.
     """
-    units, pairs, mass = Counter(), Counter(), Counter()
-    for s in segments:
-        units.update(u.text for u in s)
+    units, pairs = pair_counts([[u.text for u in s] for s in segments])
+    mass, often = Counter(), {p for p, n in pairs.items() if n >= max(2, least)}
+    for s in segments if often else ():
         for a, b in zip(s, s[1:]):
-            pairs[a.text, b.text] += 1
-            mass[a.text, b.text] += math.sqrt(a.probability() * b.probability())
+            if (a.text, b.text) in often:
+                mass[a.text, b.text] += math.sqrt(a.probability() * b.probability())
     tokens, bigrams, out = sum(units.values()), sum(pairs.values()), {}
     for (a, b), n in pairs.items():
         if n >= max(2, least):
@@ -147,16 +168,8 @@ def merge_pairs(segment: list[_Unit], scores: dict) -> tuple[list[_Unit], int]:
     return out, merged
 
 
-def positive_pmi(tokens: list[str], probabilities: list[float], least: int = LEAST_PAIRS) -> Segments:
-    """Merges all pairs of positive PMI, batch after batch, until none is left. A phrase's probability is its tokens' product."""
-    segments: list[list[_Unit]] = [[]]
-    n = min(len(tokens), len(probabilities))
-    for i in range(n):
-        kind = token_class(tokens[i])
-        if kind == "break":
-            segments.append([])
-        elif kind == "content":
-            segments[-1].append(_Unit(tokens[i], (i,), 1 / max(probabilities[i], FLOOR)))
+def merged_units(segments: list[list[_Unit]], least: int) -> list[list[_Unit]]:
+    """segments after pass upon pass of merge_pairs, until nothing is merged."""
     while scores := pair_scores(segments, least):
         merged = 0
         for i, s in enumerate(segments):
@@ -164,13 +177,31 @@ def positive_pmi(tokens: list[str], probabilities: list[float], least: int = LEA
             merged += m
         if not merged:
             break
+    return segments
+
+
+def positive_pmi(tokens: list[str], probabilities: list[float], least: int = LEAST_PAIRS) -> Segments:
+    """Merges all pairs of positive PMI, batch after batch, until none is left. A phrase's probability is its tokens' product."""
+    runs: list[list[int]] = [[]]
+    n = min(len(tokens), len(probabilities))
+    for i in range(n):
+        kind = token_class(tokens[i])
+        if kind == "break":
+            runs.append([])
+        elif kind == "content":
+            runs[-1].append(i)
+    most = max(pair_counts([[tokens[i] for i in r] for r in runs])[1].values(), default=0)
+    if most < max(2, least):  # nothing can be merged, so each token is its own phrase
+        parts = [(tokens[i], (i,)) for r in runs for i in r]
+    else:
+        parts = [(u.text, u.at) for s in merged_units([[_Unit(tokens[i], (i,), 1 / max(probabilities[i], FLOOR)) for i in r] for r in runs], least) for u in s]
     phrases, probs, owner = [], [], [-1] * n
-    for u in (u for s in segments for u in s):
-        if u.text.strip():
-            for i in u.at:
+    for text, at in parts:
+        if name := text.strip():
+            for i in at:
                 owner[i] = len(phrases)
-            phrases.append(u.text.strip())
-            probs.append(max(math.exp(sum(math.log(max(probabilities[i], FLOOR)) for i in u.at)), FLOOR))
+            phrases.append(name)
+            probs.append(max(math.exp(sum([math.log(max(probabilities[i], FLOOR)) for i in at])), FLOOR))
     return phrases, probs, owner
 
 
@@ -299,6 +330,11 @@ register("transition-chain", transition_chain)
 register("transition-chain-hmean", lambda tokens, p: transition_chain(tokens, p, harmonic=True))
 
 
+def _listed(x: pa.ListScalar) -> list:
+    """A list's elements, or none of a null, by one conversion; as_py makes an object for each first."""
+    return [] if x.values is None else x.values.to_numpy(zero_copy_only=False).tolist()
+
+
 def segment(docs: DataFrame, name: str | None = None) -> DataFrame:
     """(doc_id, pos, phrase, p, tokens) of docs (doc_id, tokens, probabilities: arrays). tokens: how many the phrase has.
 
@@ -313,7 +349,7 @@ def segment(docs: DataFrame, name: str | None = None) -> DataFrame:
         for b in batches:
             at, pos, names, ps, sizes = [], [], [], [], []
             for i, (tokens, p) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                phrases, probs, owner = cut(tokens.as_py() or [], p.as_py() or [])
+                phrases, probs, owner = cut(_listed(tokens), _listed(p))
                 size = Counter(owner)
                 at += [i] * len(phrases)
                 pos += range(len(phrases))
@@ -335,7 +371,7 @@ def anchored_phrases(docs: DataFrame, anchor: float, follower: float, k: int = 1
 
     def run(batches):
         for b in batches:
-            rows = [(i, n, *x) for i, (t, p) in enumerate(zip(b.column(1), b.column(2), strict=True)) for n, x in enumerate(anchored_runs(t.as_py() or [], p.as_py() or [], anchor, follower, k), 1)]
+            rows = [(i, n, *x) for i, (t, p) in enumerate(zip(b.column(1), b.column(2), strict=True)) for n, x in enumerate(anchored_runs(_listed(t), _listed(p), anchor, follower, k), 1)]
             at, *rest = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["doc_id", "rank", "pos", "p", "phrase"])
@@ -356,7 +392,7 @@ def corpus_tokens(docs: DataFrame) -> DataFrame:
     def tokens(b: pa.Table):
         for text, sizes in zip(b.column("text"), b.column("sizes"), strict=True):
             text, at, out = text.as_py(), 0, []
-            for n in sizes.as_py():
+            for n in _listed(sizes):
                 out.append(text[at : at + n])
                 at += n
             yield out

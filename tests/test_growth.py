@@ -179,3 +179,17 @@ def test_ingested_documents_are_dealt_evenly(spark, tmp_path, monkeypatch, capsy
     assert kept[0].columns == ["doc_id", "doc_name", "text"] and "hashpartitioning(doc_id" in plan(kept[0], capsys)
     # what stands around a page is made once: it is kept before notes are carried on, which reads it twice
     assert [df.columns for df in kept if "notes" in df.columns][0] == [df.columns for df in kept if "notes" in df.columns][1]
+
+
+def test_phrases_that_cannot_merge_make_no_units(monkeypatch):
+    tokens = ["ab", " ", "cd", ",", "ef", "\n", "ab", "cd"] * 3
+    p = [0.5, 0.1, 0.25, 0.2, 0.125, 0.1, 0.5, 0.25] * 3
+    asked, inner = [], segmentation._class
+    monkeypatch.setattr(segmentation, "_known_class", segmentation.lru_cache(9)(lambda t: asked.append(t) or inner(t)))
+    want = [(t, q) for t, q in zip(tokens, p) if t not in " ,\n"]
+    once = segmentation.positive_pmi(tokens, p, 3)  # ab cd come 6 times, and are merged
+    assert [x for x in once[0] if len(x) > 2] and sorted(asked) == sorted(set(tokens))
+    monkeypatch.setattr(segmentation, "_Unit", None)
+    phrases, probs, owner = segmentation.positive_pmi(tokens, p, 10)
+    assert phrases == [t for t, _ in want] and [round(x, 9) for x in probs] == [q for _, q in want]
+    assert [i for i in owner if i >= 0] == list(range(len(want))) and owner.count(-1) == 9
