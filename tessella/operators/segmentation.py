@@ -379,10 +379,26 @@ def anchored_phrases(docs: DataFrame, anchor: float, follower: float, k: int = 1
     return docs.select("doc_id", "tokens", "probabilities").mapInArrow(run, f"doc_id {kind}, rank int, pos int, p double, phrase string")
 
 
-def corpus_tokens(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as tokens (words, runs of white space, single other signs) and their shares in the corpus.
+def followed(tokens: list[str], shares: list[float]) -> list[float]:
+    """Probabilities of a document's tokens by what came before: (n of the token after its context + its share) / (n of the context + 1).
 
-    The shares stand for a language model's probabilities, which need weights that aren't here.
+    Counted are the earlier places of the document; a token's context is the one before it. In a new context the shares hold; over all
+    tokens the probabilities add up to 1 as these do.
+    """
+    contexts, pairs, before, out = {}, {}, "", []
+    for t, share in zip(tokens, shares):
+        n, k = contexts.get(before, 0), pairs.get((before, t), 0)
+        out.append((k + share) / (n + 1))
+        contexts[before], pairs[before, t] = n + 1, k + 1
+        before = t
+    return out
+
+
+def corpus_tokens(docs: DataFrame, follow: bool = False) -> DataFrame:
+    """docs (doc_id, text) as tokens (words, runs of white space, single other signs) and their shares in the corpus, or those `followed`.
+
+    They stand for a language model's probabilities, which need weights that aren't here. No share is as high as a likely
+    successor's probability, so chains need follow.
     """
     t = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+|\s+|[^\w\s])"), 1)
     # tokens are all of a text, so their lengths tell where it is cut
@@ -406,13 +422,15 @@ def corpus_tokens(docs: DataFrame) -> DataFrame:
 
     def use(b: pa.Table, found: dict) -> pa.Table:
         # a list of all tokens, and where each text's begin
-        names, ends, kept = [], [0], []
+        names, shares, ends, kept = [], [], [0], []
         for i, t in enumerate(tokens(b)):
             if t:
                 kept.append(i)
                 names += t
+                own = [found[x] / found[None] for x in t]
+                shares += followed(t, own) if follow else own
                 ends.append(len(names))
-        at, p = pa.array(ends, pa.int32()), pa.array([found[x] / found[None] for x in names], pa.float64())
+        at, p = pa.array(ends, pa.int32()), pa.array(shares, pa.float64())
         return pa.table([b.column("doc_id").take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, p)], names=["doc_id", "tokens", "probabilities"])
 
     return in_blocks(sized, count, use, f"doc_id {kind}, tokens array<string>, probabilities array<double>")
