@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tessella.operators import builders
+from tessella.operators import builders, ingest
 from tessella.plans import built
 from tessella.session import kept, release, shared_folder
 from tests.conftest import SF
@@ -31,6 +31,13 @@ def test_kept_tables_are_compressed_and_can_be_released(spark):
     assert held(spark) == before
 
 
+def test_ingest_leaves_nothing_but_the_store(spark, tmp_path):
+    before = held(spark)
+    s = ingest.Store(spark, f"file://{tmp_path}/store")
+    assert builders.ingest(s, docs(spark, 6)) == 6 and builders.ingest(s, docs(spark, 8)) == 2
+    assert held(spark) == before and s.read("entries").where("size(keywords) > 0").count() == 8
+
+
 def test_pages_are_kept_once_while_documents_are_built(spark, monkeypatch):
     before, steps, cut = held(spark), [], builders.cut_lineage
     monkeypatch.setattr(builders, "cut_lineage", lambda df: (steps.append(df), cut(df))[1])
